@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import exact_dedup, mixing
+from newsloom.llm import decontam, exact_dedup, mixing, near_dedup, quality_crf
 from newsloom.llm._shared import written
 
 STAGES = [
+    ("quality", quality_crf.stage),
     ("exact_dedup", exact_dedup.stage),
+    ("near_dedup", near_dedup.stage),
+    ("decontamination", decontam.stage),
     ("source_mix", mixing.stage),
 ]
 

@@ -82,8 +82,11 @@ def words(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray) -> tuple[np.nd
     return starts, ends, counts
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; the spans are in order and don't overlap. fold: A-Z count as a-z."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True, table: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each span; the spans are in order, not empty and don't overlap. fold: A-Z count as a-z.
+
+    table: what each value of data stands for, if data are not bytes.
+    """
     if not len(starts):
         return np.zeros(0, U)
     lens = ends - starts
@@ -96,7 +99,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
     if len(power) > 1:
         power[1:] = U(0x9E3779B97F4A7C55)
         power = np.multiply.accumulate(power)
-    codes = (BYTE_CODE[FOLD] if fold else BYTE_CODE)[data[at]]
+    if table is None:
+        table = BYTE_CODE[FOLD] if fold else BYTE_CODE
+    codes = table[data[at]]
     codes *= power[place]
     return mix(np.add.reduceat(codes, begin) + lens.astype(U))
 
