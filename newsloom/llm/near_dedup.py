@@ -31,7 +31,7 @@ from newsloom.llm._shared import components, drop_written, ship, written
 SHINGLE = 5
 BANDS, ROWS = 24, 5
 #: Shingles that a block of a cluster holds, about; a verification task holds two blocks (16 bytes a shingle and index).
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 250_000
 U = np.uint64
 
 
