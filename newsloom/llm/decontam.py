@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm._shared import ascii_lower, with_key, written
+from newsloom.llm._shared import ascii_lower, keep_rows, sha_of, written
 
 WINDOW = 10
 #: Distinct windows (about 200 bytes each) up to which the set is broadcast.
@@ -129,13 +129,6 @@ FROM d LEFT JOIN hit USING (rid) LEFT JOIN ids USING (rid)
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: documents with any hit go; rows that share doc_id and text share their fate."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    d = with_key(docs.select("doc_id", "text")).select(F.struct("doc_id", "_sha").alias("doc_id"), "text")
-    bad = decontaminated(d, items).where("contaminated").select("doc_id.doc_id", F.col("doc_id._sha").alias("sha"))
-    return drop_rows(docs, bad)
-
-
-def drop_rows(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    """The rows of docs whose (doc_id, sha of the text) is not in bad."""
-    keys = bad.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_key")).distinct()
-    gone = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_key"))
-    return with_key(docs).join(keys, gone, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    d = docs.select(F.struct("doc_id", sha_of(F.col("text")).alias("sha")).alias("doc_id"), "text")
+    bad = decontaminated(d, items).where("contaminated").select("doc_id.doc_id", "doc_id.sha")
+    return keep_rows(docs, bad, "left_anti")

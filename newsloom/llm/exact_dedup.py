@@ -104,5 +104,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: of equal texts one row stays."""
-    groups = exact_groups(docs.select("doc_id", "text")).where("kept")
-    return keep_rows(docs, groups.select("doc_id", F.col("text_sha256").alias("sha")), single=True)
+    g = exact_groups(docs.select("doc_id", "text"))
+    # only where a row repeats doc_id and text can the join below keep more than one row of a group
+    twice = not g.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return keep_rows(docs, g.where("kept").select("doc_id", F.col("text_sha256").alias("sha")), single=twice)

@@ -203,6 +203,8 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> Iterator[str]:
             return text.replace(" ", r.choice(("*** ", "$$$ ", "### ", " 12 ")))
         if x < 0.17:
             return text.rstrip(".!?")
+        if x < 0.21:
+            return f"{words(1, 3)} {r.choice(('&copy;', '&#169;', 'copyright', '&reg;'))} {text}"
         return text if x < 0.95 else word().capitalize() + "."
 
     def attr(kind: str, chance: float = 1.0) -> str:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm._shared import written
+from newsloom.llm._shared import fresh, written
 
 WEIGHTS = (5, 2, 1)
 #: A source is repeated this often at most.
@@ -155,8 +155,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The mix is by (source, doc_id), so rows that repeat a doc_id within a source are decided alike.
     """
-    taken = mixed(docs.select("doc_id", "source", "text")).where("copies > 0")
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies").distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-    cols = [F.col(f"`{c}`") for c in docs.columns if c not in ("copies", "taken")]
-    return docs.select(*cols).join(taken, same).select(*cols, "copies", (words_of(F.col("text")) * F.col("copies")).alias("taken"))
+    i, s = fresh([*docs.columns, "copies", "taken"], "key_id", "key_source")
+    mix = mixed(docs.select("doc_id", "source", "text")).where("copies > 0")
+    mix = mix.select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("copies").alias("copies")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(s))
+    cols = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("copies", "taken")]
+    return docs.select(*cols).join(mix, same).select(*cols, "copies", (words_of(F.col("text")) * F.col("copies")).alias("taken"))

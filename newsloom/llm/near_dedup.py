@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import textops
-from newsloom.llm._shared import components, drop_written, ship, written
+from newsloom.llm._shared import components, drop_written, fresh, ship, written
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
@@ -260,6 +260,6 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: of each group of near duplicates (similarity 0.85 on five-word shingles) the smallest doc_id stays."""
     kept = near_groups(docs).where("kept").select("doc_id").distinct()
-    ids = kept.select(F.col("doc_id").alias("_id"))
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*cols)
+    (i,) = fresh(docs.columns, "key_id")
+    kept = kept.withColumnRenamed("doc_id", i)
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(i)), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import textops
-from newsloom.llm._shared import ship
+from newsloom.llm._shared import fresh, ship
 from newsloom.llm.crf import fit_field, marginals
 
 SAMPLE = 6_000
@@ -226,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | No
     return fit(x, lens, per, label)
 
 
-def _score(model: dict | None):
+def _score(model: dict | None, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
@@ -239,18 +239,18 @@ def _score(model: dict | None):
                 f, lens, per = line_features(data, off)
                 parts.append(scores(model, encoded(f, per), lens, per))
             score = pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*names, name])
 
     return run
 
 
-def scored(docs: DataFrame, model: dict | None) -> DataFrame:
-    """docs with the column _score; docs needs the column text."""
+def scored(docs: DataFrame, model: dict | None, name: str = "score") -> DataFrame:
+    """docs (any columns, text among them) with the score in a column of that name."""
     ship(docs.sparkSession)
     from pyspark.sql.types import DoubleType, StructType
 
-    schema = StructType(list(docs.schema.fields)).add("_score", DoubleType())
-    return docs.mapInArrow(_score(model), schema)
+    schema = StructType(list(docs.schema.fields)).add(name, DoubleType())
+    return docs.mapInArrow(_score(model, name), schema)
 
 
 def held_out(doc_id):
@@ -266,10 +266,10 @@ def _model(spark: SparkSession, sf_dir: str) -> dict | None:
 def op8_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     s = scored(docs, _model(spark, sf_dir))
-    return s.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), F.when(F.col("_score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return s.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: documents whose score is under 0.5 go."""
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    return scored(docs, _model(spark, sf_dir)).where("_score >= 0.5").select(*cols)
+    (name,) = fresh(docs.columns, "score")
+    return scored(docs, _model(spark, sf_dir), name).where(F.col(name) >= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
