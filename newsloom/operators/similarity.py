@@ -65,11 +65,14 @@ def containment_pairs(members: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def jaccard_pairs(current: DataFrame, previous: DataFrame, threshold: float = 0.4) -> DataFrame:
     """Two tables (id, item): (i, j, common, score) with i of current, j of previous, common / union >= threshold > 0."""
-    both = current.select(F.struct(F.lit(0).alias("side"), "id").alias("id"), "item").unionByName(previous.select(F.struct(F.lit(1).alias("side"), "id").alias("id"), "item"))
+    ti, tj = current.schema["id"].dataType, previous.schema["id"].dataType
+    left = current.select(F.struct(F.lit(0).alias("side"), F.col("id").alias("i"), F.lit(None).cast(tj).alias("j")).alias("id"), "item")
+    right = previous.select(F.struct(F.lit(1).alias("side"), F.lit(None).cast(ti).alias("i"), F.col("id").alias("j")).alias("id"), "item")
+    both = left.unionByName(right)
     s = _sets(both)
     prefix = s.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
     a = prefix.where("id.side = 0").select(F.col("id").alias("i"), "item", F.col("n").alias("na"))
     b = prefix.where("id.side = 1").select(F.col("id").alias("j"), "item", F.col("n").alias("nb"))
     pairs = a.join(b, "item").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("i", "j").distinct()
     out = _common(pairs, s, s).withColumn("score", F.col("common") / (F.col("ni") + F.col("nj") - F.col("common")))
-    return out.where(F.col("score") >= threshold).select(F.col("i.id").alias("i"), F.col("j.id").alias("j"), "common", "score")
+    return out.where(F.col("score") >= threshold).select(F.col("i.i").alias("i"), F.col("j.j").alias("j"), "common", "score")

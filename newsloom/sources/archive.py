@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.dates import file_stamp
@@ -36,14 +36,20 @@ def fact_of(docs: DataFrame) -> DataFrame:
     return c.select("file", "ts", "top_at", "top_id", "sub_at", "sub_id", "pos", "e.*")
 
 
+def _object(at: str, key: str, value: Column) -> Column:
+    """Aggregate: a JSON object of key (a column's name) to value (JSON), in the order of `at`."""
+    name = F.regexp_extract(F.to_json(F.struct(F.col(key).alias("k"))), r'^\{"k":(.*)\}$', 1)
+    each = F.transform(F.sort_array(F.collect_list(F.struct(at, F.concat(name, F.lit(":"), value).alias("j")))), lambda x: x["j"])
+    return F.concat(F.lit("{"), F.array_join(each, ","), F.lit("}"))
+
+
 def document_of(fact: DataFrame) -> DataFrame:
-    """fact (cluster, top_id, leader, sub_id, pos, title, …) to one row with the JSON of the three-level map."""
-    entry = F.struct("title", "link", "timestamp", "source")
-    sub = fact.groupBy("cluster", "top_id", "leader", "sub_id").agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.col("title").alias("k"), entry.alias("v")))), lambda x: F.struct(x["k"], x["v"]))).alias("m"))
-    sub = sub.groupBy("cluster", "top_id", "sub_id").agg(F.max_by("m", "leader").alias("m"), F.min("leader").alias("leader"))
-    top = sub.groupBy("cluster", "top_id").agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct("leader", F.col("sub_id").alias("k"), F.to_json("m").alias("v")))), lambda x: F.struct(x["k"], x["v"]))).alias("m"))
-    top = top.groupBy("top_id").agg(F.max_by("m", "cluster").alias("m"), F.min("cluster").alias("cluster"))
-    return top.agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct("cluster", F.col("top_id").alias("k"), F.transform_values("m", lambda _, v: F.from_json(v, "map<string,struct<title:string,link:string,timestamp:string,source:string>>")).alias("v")))), lambda x: F.struct(x["k"], x["v"]))).alias("doc")).select(F.to_json("doc").alias("json"))
+    """fact (cluster, top_id, leader, sub_id, pos, title, …) to one row with the JSON of the three-level map; of equal labels the last stays."""
+    sub = fact.groupBy("cluster", "top_id", "leader", "sub_id").agg(_object("pos", "title", F.to_json(F.struct("title", "link", "timestamp", "source"))).alias("j"))
+    sub = sub.groupBy("cluster", "top_id", "sub_id").agg(F.max_by("j", "leader").alias("j"), F.min("leader").alias("leader"))
+    top = sub.groupBy("cluster", "top_id").agg(_object("leader", "sub_id", F.col("j")).alias("j"))
+    top = top.groupBy("top_id").agg(F.max_by("j", "cluster").alias("j"), F.min("cluster").alias("cluster"))
+    return top.agg(_object("cluster", "top_id", F.col("j")).alias("json"))
 
 
 def state(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +13,11 @@ from newsloom.operators.ingest import feed_title
 ENTRY = "feed_url string, feed_title string, pos bigint, title string, link string, published string, title_detail_base string, bozo boolean, error string"
 
 
+def _arrow(ddl: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in ddl.split(", "))])
+
+
 def feed_list(spark: SparkSession, path: str) -> DataFrame:
     """One URL a line; blank lines are skipped; there is no comment syntax."""
     return spark.read.text(path).select(F.trim("value").alias("url")).where("url <> ''")
@@ -75,31 +80,33 @@ def parse_feed(url: str, body: str | bytes) -> list[dict]:
 
 def entries_of(feeds: DataFrame, body: str = "body") -> DataFrame:
     """feeds (url, body): entries. One Arrow pass over the documents; a feed that can't be read is one row with its error."""
-    cols = [c.split()[0] for c in ENTRY.split(", ")]
+    schema = _arrow(ENTRY)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [r for u, x in zip(b["url"], b[body], strict=True) for r in parse_feed(u, x or "")]
-            yield pd.DataFrame(rows, columns=cols).astype({"pos": "Int64", "bozo": "boolean"})
+            for u, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_pylist(parse_feed(u, x or ""), schema)
 
-    e = feeds.select("url", body).mapInPandas(run, ENTRY)
+    e = feeds.select("url", body).mapInArrow(run, ENTRY)
     return e.withColumn("feed_title", feed_title(F.col("feed_title"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("feed_url")))
 
 
 def fetched(feeds: DataFrame, fetch: Callable[[str], tuple[int | None, str, int]]) -> DataFrame:
     """feeds (url) through fetch(url) -> (status, body, milliseconds): url, http_status, body, latency_ms, error. A failing feed is a row too."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ddl = "url string, http_status int, body string, latency_ms int, error string"
+    schema = _arrow(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for u in b["url"]:
+            for u in b.column(0).to_pylist():
+                row = {"url": u}
                 try:
-                    status, body, ms = fetch(u)
-                    rows.append((u, status, body, ms, None))
+                    row["http_status"], row["body"], row["latency_ms"] = fetch(u)
                 except Exception as e:  # one feed's failure is its own
-                    rows.append((u, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["url", "http_status", "body", "latency_ms", "error"]).astype({"http_status": "Int32", "latency_ms": "Int32"})
+                    row["error"] = f"{type(e).__name__}: {e}"
+                yield pa.RecordBatch.from_pylist([row], schema)
 
-    return feeds.select("url").mapInPandas(run, "url string, http_status int, body string, latency_ms int, error string")
+    return feeds.select("url").mapInArrow(run, ddl)
 
 
 def http_fetch(url: str, timeout: float = 20.0) -> tuple[int | None, str, int]:
