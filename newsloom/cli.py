@@ -1,4 +1,4 @@
-"""python -m newsloom.cli run|stats|analyze|replay …"""
+"""python -m newsloom.cli run | update | dashboard | stats | analyze | clear-cache | replay | validate"""
 
 from __future__ import annotations
 
@@ -24,6 +24,22 @@ def main(args: list[str] | None = None) -> int:
         s = sub.add_parser(name, help="figures of the run metrics table")
         s.add_argument("--metrics", required=True)
         s.add_argument("--days", type=int, default=7)
+    u = sub.add_parser("update", help="new archive files to run metrics")
+    u.add_argument("--archive", required=True)
+    u.add_argument("--metrics", required=True)
+    u.add_argument("--all-json", action="store_true", help="count every .json, state files too")
+    d = sub.add_parser("dashboard", help="update's table: status, statistics, latest days")
+    d.add_argument("--metrics", required=True)
+    d.add_argument("--days", type=int, default=7)
+    d.add_argument("--now", required=True)
+    c = sub.add_parser("clear-cache")
+    c.add_argument("--metrics", required=True)
+    b = sub.add_parser("replay", help="archived runs, one a minute, latest 14 days, to a momentum state")
+    b.add_argument("--archive", required=True)
+    b.add_argument("--sources")
+    b.add_argument("--state", required=True)
+    v = sub.add_parser("validate", help="violations of a published stories table")
+    v.add_argument("--out", required=True)
     a = p.parse_args(args)
     spark = session()
     if a.cmd == "run":
@@ -41,9 +57,44 @@ def main(args: list[str] | None = None) -> int:
         archive.save_state(out["names"], f"{a.out}/names")
         print("published" if ok else f"held back: {why}")
         return 0 if ok else 1
-    from newsloom.operators import metrics
+    from newsloom.operators import checks, metrics
+    from newsloom.sources import archive
 
-    day = metrics.daily(spark.read.parquet(a.metrics))
+    if a.cmd == "update":
+        docs = archive.documents(spark, a.archive)
+        if not a.all_json:
+            docs = docs.where(F.substring_index("file", "/", -1).rlike(archive.NAME))
+        m = metrics.file_metrics(docs.withColumn("doc", F.coalesce("doc", F.create_map().cast(archive.DOC))))
+        m = m.select(F.substring("ts", 1, 10).alias("date"), "ts", F.col("total_articles").alias("articles"), F.col("top_level_groups").alias("groups"), "sub_groups", F.col("unique_sources").alias("sources"), F.col("subgroups_per_top_group").alias("ratio"))
+        old = archive.state(spark, a.metrics, ", ".join(f"{n} {t}" for n, t in m.dtypes))
+        metrics.upserted(old, m).write.mode("overwrite").parquet(a.metrics)
+        return 0
+    if a.cmd == "clear-cache":
+        archive.state(spark, a.metrics, "date string").limit(0).write.mode("overwrite").parquet(a.metrics)
+        return 0
+    if a.cmd == "replay":
+        from newsloom.plans.engine import replay
+        from newsloom.sources import feeds
+
+        files = metrics.archive_window(archive.with_minutes(archive.listing(spark, a.archive)))
+        fact = archive.fact_of(archive.documents(spark, a.archive)).withColumn("group", F.col("top_at").cast("long")).withColumn("label", F.col("top_id"))
+        fact = fact.withColumn("pos", F.col("sub_at") * 1_000_000 + F.col("pos"))
+        days = [(r.date, fact.where(F.col("file") == r.file)) for r in files.orderBy("minute").collect()]  # a row per run of two weeks
+        archive.save_state(replay(spark, days, feeds.sources_dimension(spark, a.sources)), a.state)
+        return 0
+    if a.cmd == "validate":
+        bad = checks.violations(spark.read.parquet(f"{a.out}/stories")).unionByName(checks.momentum_violations(spark.read.parquet(f"{a.out}/momentum")))
+        bad.show(100, truncate=False)
+        return int(not bad.isEmpty())
+    runs = spark.read.parquet(a.metrics)
+    if a.cmd == "dashboard":
+        last = F.max(F.to_timestamp("ts"))
+        now = F.lit(a.now).cast("timestamp")
+        runs.agg(last.alias("last_update"), checks.status(last, now).alias("status")).show(truncate=False)
+        metrics.overall(metrics.daily(runs)).show(vertical=True)
+        metrics.plot_series(runs, a.days).show()
+        return 0
+    day = metrics.daily(runs)
     (metrics.overall(day) if a.cmd == "stats" else metrics.trends(day, a.days)).show(truncate=False)
     return 0
 

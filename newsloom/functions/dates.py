@@ -48,6 +48,25 @@ def relative_time(then: Column, now: Column) -> Column:
     return F.when(then.isNull(), "Unknown").when(s < 60, "Just now").when(s < 3600, some(s / 60, "minute")).when(s < 86400, some(s / 3600, "hour")).otherwise(some(s / 86400, "day"))
 
 
+def _stamp(name: Column, minutes: bool = False) -> Column:
+    """A run's stamp in a file's name, its time written with : or, where a file system bars that, with -; '' if none."""
+    found = F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2}T\d{2}[:-]\d{2}" + ("" if minutes else r"(?:[:-]\d{2})?") + ")", 1)
+    return F.concat(F.substring(found, 1, 10), F.replace(F.substring(found, 11, 20), F.lit("-"), F.lit(":")))
+
+
 def file_stamp(name: Column) -> Column:
     """The run's stamp inside an archive file's name, or null."""
-    return F.nullif(F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(?::\d{2})?)", 1), F.lit(""))
+    return F.nullif(_stamp(name), F.lit(""))
+
+
+def minute_of(name: Column) -> Column:
+    """The minute of a file's run stamp, or null."""
+    return F.nullif(_stamp(name, minutes=True), F.lit(""))
+
+
+def archive_name(name: Column) -> Column:
+    """struct(version, stamp, ts) of an archive file's name latest_news_<version>_<stamp>.json, or null."""
+    pattern = r"^latest_news_([0-9][^_]*)_\d{4}-\d{2}-\d{2}T\d{2}[:-]\d{2}(?:[:-]\d{2})?(?:\.\d+)?\.json$"
+    stamp = _stamp(name)
+    ts = F.coalesce(F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd'T'HH:mm:ss")), F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd'T'HH:mm")))
+    return F.when(name.rlike(pattern), F.struct(F.regexp_extract(name, pattern, 1).alias("version"), stamp.alias("stamp"), ts.alias("ts")))

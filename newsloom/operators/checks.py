@@ -54,18 +54,40 @@ def status(stamp: Column, now: Column) -> Column:
     return F.when(stamp.isNull(), "unknown").when(F.unix_timestamp(now) - F.unix_timestamp(stamp) > 7 * 3600, "stale").otherwise("fresh")
 
 
+def _broken(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
+    """(key, violation): each rule that holds for a row; a rule that is null holds."""
+    found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in rules.items()]))
+    return df.select(key, F.explode(found).alias("violation"))
+
+
+def _no(c: str, pattern: str) -> Column:
+    return ~F.col(c).rlike(pattern)
+
+
 def violations(stories: DataFrame) -> DataFrame:
-    """(id, violation): what a stories document may not hold."""
-    rules = {
-        "id": ~F.coalesce(F.col("id").rlike("^st_[0-9a-f]{6}$"), F.lit(False)),
-        "headline": F.coalesce(F.col("headline"), F.lit("")) == "",
-        "headline_source": F.col("headline_source").isNull(),
-        "kind": ~F.coalesce(F.col("kind").isin("story", "roundup", "deal"), F.lit(False)),
-        "outlet_count": F.coalesce(F.col("outlet_count") < 1, F.lit(True)),
-        "article_count": F.coalesce(F.col("article_count") != F.size("articles"), F.lit(True)),
-        "days_running": F.coalesce(F.col("days_running") < 1, F.lit(True)),
-        "outlets": F.coalesce(F.size("outlets") != F.col("outlet_count"), F.lit(True)),
-        "keywords": F.coalesce(F.size("keywords") > 8, F.lit(True)),
-    }
-    found = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))
-    return stories.select("id", F.explode(found).alias("violation"))
+    """What a stories document may not hold."""
+    return _broken(stories, "id", {
+        "id": _no("id", "^st_[0-9a-f]{6}$"), "headline": F.col("headline") == "", "headline_source": F.col("headline_source").isNull(),
+        "kind": ~F.col("kind").isin("story", "roundup", "deal"), "outlet_count": F.col("outlet_count") < 1, "article_count": F.col("article_count") != F.size("articles"),
+        "days_running": F.col("days_running") < 1, "outlets": F.size("outlets") != F.col("outlet_count"), "keywords": F.size("keywords") > 8,
+    })
+
+
+def momentum_violations(momentum: DataFrame) -> DataFrame:
+    return _broken(momentum, "id", {
+        "id": _no("id", "^st_[0-9a-f]{6}$"), "series": (F.size("series") < 1) | (F.size("series") > 14), "days_running": F.col("days_running") != F.size("series"),
+        "first_seen": _no("first_seen", r"^\d{4}-\d{2}-\d{2}$"), "peak_date": F.col("peak_date").isNull(), "trend": ~F.col("trend").isin("new", "climbing", "peaked", "cooling", "steady"),
+    })
+
+
+def news_violations(fact: DataFrame) -> DataFrame:
+    """fact (top_id, title, link, timestamp, source): rows of the visualization document."""
+    return _broken(fact, "top_id", {c: F.col(c).isNull() | (F.col(c) == "") for c in ("title", "link", "source")} | {"timestamp": F.col("timestamp").isNull()})
+
+
+def metadata_violations(metadata: DataFrame) -> DataFrame:
+    return _broken(metadata, "datetime", {"datetime": _no("datetime", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}"), "version": _no("version", r"^\d+\.\d+\.\d+$")})
+
+
+def health_violations(health: DataFrame) -> DataFrame:
+    return _broken(health, "url", {"entry_count": F.col("entry_count") < 0, "ok": F.col("ok") != feed_ok(F.col("http_status"), F.col("entry_count"))})

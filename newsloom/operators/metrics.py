@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.operators.tables import written
@@ -104,3 +104,17 @@ def archive_window(runs: DataFrame, days: int = 14) -> DataFrame:
     return once.join(last, "date", "left_semi")
 
 
+def top_terms(terms: DataFrame, n: int = 5) -> DataFrame:
+    """terms (term, freq) after absorption, in brackets: most frequent, then most words, then by text."""
+    t = absorbed_terms(terms).withColumn("words", F.size(F.split("term", " ")))
+    t = t.orderBy(F.col("freq").desc(), F.col("words").desc(), "term").limit(n)
+    return t.select(F.concat(F.lit("["), F.col("term"), F.lit("]")).alias("term"), "freq")
+
+
+def group_keywords(tokens: DataFrame, n: int = 5) -> DataFrame:
+    """tokens (group, pos, words): each group's n most frequent words, ties to the first met, and a suggested name of them."""
+    w = tokens.select("group", "pos", F.posexplode("words").alias("at", "word")).where("word <> ''")
+    c = w.groupBy("group", "word").agg(F.count("*").alias("n"), F.min(F.struct("pos", "at")).alias("first"))
+    c = c.withColumn("place", F.row_number().over(Window.partitionBy("group").orderBy(F.col("n").desc(), "first"))).where(F.col("place") <= n)
+    words = F.transform(F.sort_array(F.collect_list(F.struct("place", "word"))), lambda x: x["word"])
+    return c.groupBy("group").agg(words.alias("keywords")).withColumn("name", F.initcap(F.array_join(F.slice("keywords", 1, 3), " ")))

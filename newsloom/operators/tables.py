@@ -31,3 +31,9 @@ def drop_written(df: DataFrame) -> None:
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes every written table of this folder; call it when no frame built on one is in use any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/newsloom")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

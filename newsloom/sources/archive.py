@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions.dates import file_stamp
+from newsloom.functions.dates import file_stamp, minute_of
 from newsloom.operators.checks import gate
 from newsloom.operators.tables import written
 
@@ -77,11 +77,12 @@ def emit(fact: DataFrame, stamp: str, version: str, writer: str, local: str | No
     if writer not in WRITERS:
         raise ValueError(f"writer is one of {', '.join(WRITERS)}, not {writer!r}")
     doc = written(document_of(fact), "document")
+    name = f"latest_news_{version}_{stamp.replace(':', '-')}.json"  # a colon can't be in every file system's names
     places = [p for w, p in (("local", local), ("remote", remote)) if writer in (w, "both") and p]
     for p in places:
-        doc.coalesce(1).write.mode("overwrite").text(f"{p}/archive/latest_news_{version}_{stamp}.json")
+        doc.coalesce(1).write.mode("overwrite").text(f"{p}/archive/{name}")
         doc.coalesce(1).write.mode("overwrite").text(f"{p}/latest_news.json")
-        ref = {"local": f"{local}/latest_news.json" if writer in ("local", "both") else None, "remote": f"{remote}/archive/latest_news_{version}_{stamp}.json"}
+        ref = {"local": f"{local}/latest_news.json" if writer in ("local", "both") else None, "remote": f"{remote}/archive/{name}"}
         metadata(fact.sparkSession, stamp, version, ref["local"], ref["remote"]).coalesce(1).write.mode("overwrite").json(f"{p}/latest_news_metadata.json")
 
 
@@ -108,3 +109,25 @@ def save_raw(df: DataFrame, path: str, stamp: str = "ts") -> None:
     """Raw documents by year and month."""
     t = F.to_timestamp(F.substring(stamp, 1, 10))
     df.withColumn("year", F.year(t)).withColumn("month", F.month(t)).write.mode("append").partitionBy("year", "month").parquet(path)
+
+
+def latest_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """The newest metadata row under path, or no row."""
+    try:
+        m = spark.read.schema("datetime string, version string, latest_log_reference string").json(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], "datetime string, version string, latest_log_reference string")
+        raise
+    return m.orderBy(F.col("datetime").desc()).limit(1)
+
+
+def to_mirror(there: DataFrame, here: DataFrame) -> DataFrame:
+    """Listings (name, size): what a mirror lacks or has in another size."""
+    return there.join(here.select("name", "size"), ["name", "size"], "left_anti")
+
+
+def with_minutes(files: DataFrame) -> DataFrame:
+    """A listing with each file's minute and date, for metrics.archive_window()."""
+    m = minute_of(F.col("name"))
+    return files.withColumn("minute", m).withColumn("date", F.substring(m, 1, 10)).where("minute is not null")

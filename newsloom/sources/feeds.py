@@ -117,3 +117,20 @@ def http_fetch(url: str, timeout: float = 20.0) -> tuple[int | None, str, int]:
     began = time.time()
     with urllib.request.urlopen(url, timeout=timeout) as r:
         return r.status, r.read().decode(r.headers.get_content_charset() or "utf-8", "replace"), int(1000 * (time.time() - began))
+
+
+def chosen_list(environment: str, lists: dict[str, str], default: str = "prod") -> str:
+    """The feed list's path for an environment; an unknown one has the default's."""
+    return lists.get(environment.lower(), lists[default])
+
+
+def feeds_or(spark: SparkSession, path: str, fallback: list[str]) -> DataFrame:
+    """The feeds of a list, or the fallback's where the list is missing or empty."""
+    try:
+        f = feed_list(spark, path)
+        if not f.isEmpty():
+            return f
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    return spark.createDataFrame([(u,) for u in fallback], "url string")

@@ -259,3 +259,19 @@ def test_board(spark):
     assert {(x.section, x.n) for x in board.facet_counts(s).collect()} == {("General", 2), (None, 2)}
     assert [x.kind for x in board.ordered(s, "covered").collect()] == ["story", "deal"]
     assert sorted(round(x.share, 3) for x in board.outlet_share(board.board(s)).collect()) == [0.333, 0.667]
+
+
+def test_terms_and_group_keywords(spark):
+    t = spark.createDataFrame([("oil", 3), ("oil prices", 2), ("gold", 3), ("a b", 3)], "term string, freq long")
+    assert [tuple(x) for x in metrics.top_terms(t, 3).collect()] == [("[a b]", 3), ("[oil prices]", 3), ("[gold]", 3)]
+    w = spark.createDataFrame([(1, 0, ["b", "a"]), (1, 1, ["a", ""]), (2, 2, ["c"])], "group long, pos long, words array<string>")
+    assert {x.group: (x.keywords, x.name) for x in metrics.group_keywords(w).collect()} == {1: (["a", "b"], "A B"), 2: (["c"], "C")}
+
+
+def test_violations(spark):
+    m = spark.createDataFrame([("st_00000a", "2026-01-01", 1, [("2026-01-01", 1, 1)], "2026-01-01", "new"), ("x", "y", 2, [], None, "odd")], "id string, first_seen string, days_running int, series array<struct<date:string,outlets:long,articles:long>>, peak_date string, trend string")
+    assert sorted(x.violation for x in checks.momentum_violations(m).collect()) == ["days_running", "first_seen", "id", "peak_date", "series", "trend"]
+    f = spark.createDataFrame([("t", "a", "l", "", "s"), ("t", "", None, None, "s")], "top_id string, title string, link string, timestamp string, source string")
+    assert sorted(x.violation for x in checks.news_violations(f).collect()) == ["link", "timestamp", "title"]
+    d = spark.createDataFrame([("2026-01-01T00:00:00", "0.2.1"), ("now", "2")], "datetime string, version string")
+    assert sorted(x.violation for x in checks.metadata_violations(d).collect()) == ["datetime", "version"]

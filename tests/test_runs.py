@@ -98,3 +98,40 @@ def test_catalog_is_complete():
     from newsloom.plans.catalog import ORACLE, QUERIES
 
     assert set(ORACLE) <= set(QUERIES) and len(QUERIES) >= 38
+
+
+def test_archive_names_and_mirror(spark):
+    from newsloom.functions import dates
+
+    f = spark.createDataFrame([("latest_news_0.2.1_2026-03-01T10:20:30.json", 5), ("latest_news_0.2.1_2026-03-01T10-20-31.json", 6), ("momentum_state.json", 7)], "name string, size long")
+    got = f.select("name", dates.archive_name(F.col("name")).alias("a")).collect()
+    assert (got[0].a.version, got[0].a.stamp, str(got[0].a.ts)) == ("0.2.1", "2026-03-01T10:20:30", "2026-03-01 10:20:30") and got[2].a is None
+    here = spark.createDataFrame([("momentum_state.json", 7), ("latest_news_0.2.1_2026-03-01T10:20:30.json", 4)], "name string, size long")
+    assert archive.to_mirror(f, here).count() == 2
+    assert [x.minute for x in archive.with_minutes(f).select("minute").distinct().collect()] == ["2026-03-01T10:20"]
+
+
+def test_fallback_feeds(spark, tmp_path):
+    assert [x.url for x in feeds.feeds_or(spark, str(tmp_path / "none"), ["u"]).collect()] == ["u"]
+    assert feeds.chosen_list("QA", {"prod": "p", "qa": "q"}) == "q" and feeds.chosen_list("x", {"prod": "p"}) == "p"
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    from newsloom import cli
+
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    a, m = tmp_path / "archive", str(tmp_path / "metrics")
+    a.mkdir()
+    doc = {"[Bridge]": {"[Bridge]": {t: {"title": t, "link": f"https://{t}.com/x", "timestamp": "2026-03-01T00:00:00Z", "source": f"https://{t}.com/f"} for t in ("a", "b")}}}
+    for k in (1, 2):
+        (a / f"latest_news_0.2.1_2026-03-0{k}T10-00.json").write_text(json.dumps(doc))
+    (a / "momentum_state.json").write_text("{}")
+    for _ in range(2):
+        assert cli.main(["update", "--archive", str(a), "--metrics", m]) == 0
+    assert sorted((x.date, x.articles, x.sources) for x in spark.read.parquet(m).collect()) == [("2026-03-01", 2, 2), ("2026-03-02", 2, 2)]
+    assert cli.main(["stats", "--metrics", m]) == 0 and cli.main(["analyze", "--metrics", m]) == 0
+    assert cli.main(["dashboard", "--metrics", m, "--now", "2026-03-02 12:00:00"]) == 0
+    assert cli.main(["replay", "--archive", str(a), "--state", str(tmp_path / "state")]) == 0
+    s = archive.state(spark, str(tmp_path / "state"), momentum.STATE).collect()
+    assert len(s) == 1 and len(s[0].series) == 2
+    assert cli.main(["clear-cache", "--metrics", m]) == 0 and archive.state(spark, m, "date string").count() == 0
