@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import textops
-from newsloom.llm._shared import components, drop_written, fresh, ship, written
+from newsloom.llm._shared import components, drop_written, fresh, keep_rows, sha_of, ship, written
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
@@ -259,7 +259,9 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: of each group of near duplicates (similarity 0.85 on five-word shingles) the smallest doc_id stays."""
-    kept = near_groups(docs).where("kept").select("doc_id").distinct()
+    if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # doc_id alone doesn't name a row
+        named = docs.select(F.struct("doc_id", sha_of(F.col("text")).alias("sha")).alias("doc_id"), "text")
+        return keep_rows(docs, near_groups(named).where("kept").select("doc_id.doc_id", "doc_id.sha"), single=True)
     (i,) = fresh(docs.columns, "key_id")
-    kept = kept.withColumnRenamed("doc_id", i)
+    kept = near_groups(docs).where("kept").select(F.col("doc_id").alias(i))
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(i)), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

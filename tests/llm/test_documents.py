@@ -352,3 +352,45 @@ def test_chat(spark):
     assert by[1, 3].call_turn == 2 and not by[1, 3].orphan
     assert by[1, 4].orphan and by[2, 0].orphan
     assert by[2, 1].message == '{"content":"","role":"user"}' and by[None, 0].message == '{"content":"{not json","role":"user"}'
+
+
+def test_stages_keep_columns_and_take_effect(spark, docs, tmp_path):
+    df, rows = docs
+    cols = df.columns
+    near = near_dedup.stage(spark, df, "")
+    assert near.columns == cols
+    groups = near_dedup.near_groups(df.select("doc_id", "text")).where("n_shingles > 0").select("root").distinct().count()
+    empty = [r for r in rows if not words(r[1])]
+    assert near.count() == groups + len({(r[0], r[1] or "") for r in empty})
+    unique = frame(spark)
+    assert near_dedup.stage(spark, unique, "").count() == near_dedup.near_groups(unique).where("kept").count()
+    w = alnum(rows[10][1])
+    spark.createDataFrame([(1, " ".join(w[5:30]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = decontam.stage(spark, df, str(tmp_path))
+    bad = decontam.decontaminated(df, spark.read.parquet(f"{tmp_path}/benchmark.parquet")).where("contaminated").count()
+    assert bad > 0 and clean.columns == cols and clean.count() == len(rows) - bad
+
+
+def test_pipeline_against_its_operators(spark, tmp_path):
+    """run() on a small folder: what each stage drops is what its operator says of that stage's input."""
+    import corpus_pipeline
+
+    r = random.Random(6)
+    vocab = ["".join(r.choice("abcdefg") for _ in range(r.randint(2, 7))) for _ in range(400)]
+    good = lambda: "\n".join(" ".join(r.choice(vocab) for _ in range(12)).capitalize() + "." for _ in range(6))
+    bad = lambda: "\n".join(" | ".join(r.choice(vocab).upper() + "!!" for _ in range(8)) for _ in range(6))
+    rows = [(i, bad() if i % 5 == 0 else good(), "en", f"s{i % 3}", 0) for i in range(200)]
+    rows += [(200 + i, rows[i * 5 + 1][1], "en", "s0", 0) for i in range(10)]
+    rows += [(300 + i, rows[i * 5 + 2][1] + " end", "en", "s1", 0) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 5 != 0), 0) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, rows[3][1]), (2, rows[4][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    ids = {x.doc_id for x in out.collect()}
+    assert not any(i % 5 == 0 for i in ids if i < 200)  # rejected by quality
+    assert not ids & {i * 5 + 1 for i in range(10)}  # of equal texts the largest doc_id stays
+    assert not ids & {300 + i for i in range(10)}  # of near copies the smallest stays
+    assert not ids & {3, 4}
+    mix = mixing.mixed(docs.where(docs.doc_id.isin(*[i for i, *_ in rows])))
+    assert out.columns == [*docs.columns, "copies", "taken"] and mix.count() == len(rows)
