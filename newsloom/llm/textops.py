@@ -23,6 +23,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Values of a span that are taken in step with other spans'.
+LONG = 64
+MULTIPLIER = U(0x9E3779B97F4A7C55)
 #: What each byte stands for in a hash: 64 pseudo-random bits.
 BYTE_CODE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 FOLD = np.arange(256, dtype=np.uint8)
@@ -87,23 +90,32 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
 
     table: what each value of data stands for, if data are not bytes.
     """
-    if not len(starts):
+    n = len(starts)
+    if not n:
         return np.zeros(0, U)
-    lens = ends - starts
-    total = int(lens.sum())
-    begin = np.zeros(len(lens), np.int64)
-    np.cumsum(lens[:-1], out=begin[1:])
-    place = np.arange(total) - np.repeat(begin, lens)
-    at = place + np.repeat(starts, lens)
-    power = np.ones(int(lens.max()), U)
-    if len(power) > 1:
-        power[1:] = U(0x9E3779B97F4A7C55)
-        power = np.multiply.accumulate(power)
     if table is None:
         table = BYTE_CODE[FOLD] if fold else BYTE_CODE
-    codes = table[data[at]]
-    codes *= power[place]
-    return mix(np.add.reduceat(codes, begin) + lens.astype(U))
+    lens = ends - starts
+    # spans by length, longest first: the k-th step takes the k-th value of the first spans[k] of them
+    order = np.argsort((np.iinfo(np.uint16).max - np.minimum(lens, np.iinfo(np.uint16).max)).astype(np.uint16), kind="stable")
+    at, size = starts[order], np.minimum(lens[order], LONG)
+    h = np.zeros(n, U)
+    for k, m in enumerate(np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), "right").tolist()):
+        x = h[:m]
+        x *= MULTIPLIER
+        x += table[data[at[:m] + k]]
+    for i in range(int(np.searchsorted(-lens[order], -LONG, "left"))):  # the few that are longer
+        a, b = int(at[i]) + LONG, int(at[i] + lens[order[i]])
+        while a < b:
+            part = table[data[a : min(b, a + PASS_BYTES)]]
+            power = np.full(len(part), MULTIPLIER, U)
+            power[0] = 1
+            power = np.multiply.accumulate(power)
+            h[i] = mix(h[i : i + 1] * MULTIPLIER + (part * power).sum())[0]
+            a += len(part)
+    out = np.empty(n, U)
+    out[order] = h
+    return mix(out + lens.astype(U))
 
 
 def grams(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,23 +137,27 @@ def gram_sets(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray, k: int) ->
     starts, ends, counts = words(data, offsets, sep)
     hashes = span_hashes(data, starts, ends)
     g, per = grams(hashes, counts, k)
-    row = np.repeat(np.arange(len(counts)), per)
     short = np.flatnonzero((counts > 0) & (counts < k))
+    whole = per.copy()
+    whole[short] = 1
+    begin = np.cumsum(whole) - whole
+    out = np.empty(int(whole.sum()), U)
+    out[np.repeat(begin - (np.cumsum(per) - per), per) + np.arange(len(g))] = g
     if len(short):
         first = np.cumsum(counts) - counts
         value = np.zeros(len(short), U)
         for i in range(k - 1):
             has = counts[short] > i
             value[has] = value[has] * U(0xD6E8FEB86659FD93) + hashes[first[short[has]] + i]
-        value = mix(value + counts[short].astype(U) * U(0xA0761D6478BD642F))
-        g, row = np.concatenate([g, value]), np.concatenate([row, short])
-    order = np.lexsort((g, row))
-    g, row = g[order], row[order]
-    if len(g):
-        new = np.ones(len(g), bool)
-        new[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
-        g, row = g[new], row[new]
-    return g, np.bincount(row, minlength=len(counts)), counts
+        out[begin[short]] = mix(value + counts[short].astype(U) * U(0xA0761D6478BD642F))
+    for a, b in zip(begin.tolist(), (begin + whole).tolist(), strict=True):
+        out[a:b].sort()
+    row = np.repeat(np.arange(len(counts)), whole)
+    if len(out):
+        new = np.ones(len(out), bool)
+        new[1:] = (out[1:] != out[:-1]) | (row[1:] != row[:-1])
+        out, row = out[new], row[new]
+    return out, np.bincount(row, minlength=len(counts)), counts
 
 
 def longs(x: np.ndarray) -> pa.Array:

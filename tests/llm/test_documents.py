@@ -266,6 +266,33 @@ def test_compact_windows():
         assert got == want
 
 
+def test_compact_windows_of_repeats():
+    r = np.random.default_rng(2)
+    for deep in (0, 1, 30):
+        for _ in range(60):
+            counts = r.integers(0, 60, 4)
+            v = r.integers(0, 5, counts.sum()).astype(np.uint64) << np.uint64(40)
+            before, substring_dedup.DEEP = substring_dedup.DEEP, deep
+            try:
+                left, c, right = substring_dedup.compact_windows(v, counts, 3)
+            finally:
+                substring_dedup.DEEP = before
+            # every passage of three or more has a window of its minimum's value over it, and windows are what they say
+            assert all(v[a : b + 1].min() == v[x] for a, x, b in zip(left, c, right, strict=True))
+            at = 0
+            for n in counts:
+                for i in range(at, at + n):
+                    for j in range(i + 2, at + n):
+                        m = v[i : j + 1].min()
+                        assert any(a <= i and b >= j and v[x] == m for a, x, b in zip(left, c, right, strict=True))
+                at += n
+    import time
+
+    began = time.time()
+    substring_dedup.compact_windows(np.zeros(2_000_000, np.uint64), np.array([2_000_000]), 46)
+    assert time.time() - began < 10
+
+
 @pytest.mark.parametrize("unique", [True, False])
 def test_passages(docs, unique):
     df, rows = docs
