@@ -42,7 +42,7 @@ def marginals(unary: np.ndarray, per: np.ndarray, trans: np.ndarray) -> tuple[np
     return p[:, 1], expected, float(log_z.sum())
 
 
-def fit_field(x: np.ndarray, per: np.ndarray, y: np.ndarray, weight: np.ndarray, width: int, steps: int = 120) -> tuple[np.ndarray, np.ndarray]:
+def fit_field(x: np.ndarray, per: np.ndarray, y: np.ndarray, weight: np.ndarray, width: int, steps: int = 120, penalty: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Weights of features and transitions: Adam on the penalised conditional log-likelihood. weight: of each text.
 
     x: indices of the features that are on, a row for each element of a chain; the last of the width features stays at 0.
@@ -58,8 +58,8 @@ def fit_field(x: np.ndarray, per: np.ndarray, y: np.ndarray, weight: np.ndarray,
     m, v = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
     for t in range(1, steps + 1):
         p, expected, _ = marginals(w[x].sum(1), per, trans)
-        g = np.bincount(x.ravel(), np.repeat((y - p) * lw, x.shape[1]), len(w)) - 1.0 * w
-        gt = (seen - expected) - 1.0 * trans
+        g = np.bincount(x.ravel(), np.repeat((y - p) * lw, x.shape[1]), len(w)) - penalty * w
+        gt = (seen - expected) - penalty * trans
         g = np.concatenate([g, gt.ravel()]) / len(y)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)

@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from newsloom.llm._shared import ship
 from newsloom.llm.crf import fit_field, viterbi
 
-TRAIN_PAGES = 1_200
+TRAIN_PAGES = 2_500
 SEED = 7
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*'|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
+# Every alternative stops at a '<' that opens something, so a page of broken tags is still read in one pass.
+_VALUE = r"\"(?:[^\"<]|<(?![a-zA-Z/!]))*+\"|'(?:[^'<]|<(?![a-zA-Z/!]))*+'"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']|{_VALUE})*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")
 #: Elements whose content is no text of the page.
@@ -47,12 +49,15 @@ BLOCK = frozenset(
 _LIST, _TABLE = frozenset("ul ol menu".split()), frozenset(["table"])
 ENDS = {"li": (frozenset(["li"]), _LIST), "dt": (frozenset("dt dd".split()), frozenset(["dl"])), "dd": (frozenset("dt dd".split()), frozenset(["dl"])), "tr": (frozenset("tr td th".split()), _TABLE), "td": (frozenset("td th".split()), _TABLE | {"tr"}), "th": (frozenset("td th".split()), _TABLE | {"tr"}), "option": (frozenset(["option"]), _LIST)}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPH, HOLDERS = frozenset(["p"]), frozenset("table td th li div section article form blockquote aside header footer main nav".split())
+_SHUT = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 
 
 def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
     """Leaf blocks in page order: (text, its ancestors' marks, share of its characters inside links)."""
     out: list[tuple[str, tuple[str, ...], float]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    marks: dict[str, int] = {}  # of the open elements, with how many have each
     text: list[str] = []
     linked: list[bool] = []
     at, silent, links = 0, 0, 0
@@ -64,7 +69,6 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         whole = " ".join("".join(parts).split())
         if whole:
             inside = sum(len(p) for p, x in zip(parts, linked, strict=True) if x)
-            marks = tuple(dict.fromkeys(m for tag, more in stack for m in (tag, *more)))
             own = next((t for t, _ in reversed(stack) if t in BLOCK), "none")
             out.append((whole, (*marks, f"own:{own}"), inside / max(1, sum(map(len, parts)))))
         text.clear()
@@ -72,11 +76,24 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
 
     def close(n: int) -> None:
         nonlocal silent, links
-        for tag, _ in stack[n:]:
+        for tag, more in stack[n:]:
             silent -= tag in SILENT
             links -= tag == "a"
+            for m in (tag, *more):
+                marks[m] -= 1
+                if not marks[m]:
+                    del marks[m]
         del stack[n:]
 
+    def innermost(those: frozenset[str], bound: frozenset[str]) -> int:
+        """Where the innermost open element of those stands, if none of bound is inside it; else -1."""
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in those:
+                return i
+            if stack[i][0] in bound:
+                return -1
+        return -1
+
     def say(t: str) -> None:
         if not silent and t:
             text.append(t)
@@ -95,11 +112,11 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
             continue
         tag = name.lower()
         if m[1] or m[4]:
-            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if i >= 0:
+            if tag in marks:
+                i = innermost(frozenset([tag]), frozenset())
+                if tag not in BLOCK and any(t in BLOCK for t, _ in stack[i:]):
+                    continue  # an inline end tag doesn't end blocks
                 if tag in BLOCK or any(t in BLOCK for t, _ in stack[i:]):
-                    if tag not in BLOCK:
-                        continue  # an inline end tag doesn't end blocks
                     flush()
                 close(i)
             elif tag in BLOCK:
@@ -116,23 +133,15 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
             flush()
             if tag in ENDS:
                 those, bound = ENDS[tag]
-                hit = -1
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in bound:
-                        break
-                    if stack[i][0] in those:
-                        hit = i
-                if hit >= 0:
-                    close(hit)
+                # cells end with their row's other cells: the outermost of them goes
+                while (i := innermost(those, bound)) >= 0:
+                    close(i)
             # a paragraph or heading ends at any block
-            hit = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p" or (tag in HEADINGS and stack[i][0] in HEADINGS)), -1)
-            if hit >= 0 and not any(t in ("table", "td", "li", "div", "section", "article", "form") for t, _ in stack[hit:]):
-                close(hit)
+            if (i := innermost(PARAGRAPH | HEADINGS if tag in HEADINGS else PARAGRAPH, HOLDERS)) >= 0:
+                close(i)
         if tag in RAW:
-            shut = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            shut = _SHUT[tag].search(page, at)
             at = shut.end() if shut else end
-            if tag in BLOCK:
-                flush()
             continue
         attrs = m[3] if m[2] else m[6]
         if attrs and attrs.rstrip().endswith("/") and tag in SILENT:
@@ -141,6 +150,8 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         if attrs and "=" in attrs:
             more = tuple(f"w:{w}" for _, v in _ATTR.findall(attrs) for w in _WORD.findall(v.lower()))
         stack.append((tag, more))
+        for x in (tag, *more):
+            marks[x] = marks.get(x, 0) + 1
         silent += tag in SILENT
         links += tag == "a"
     flush()
@@ -169,7 +180,7 @@ _NAMES = {
     "menu": "menu nav navbar navigation topnav links breadcrumb breadcrumbs tabs toc skip".split(),
     "head": "header masthead top topbar site-header brand logo tagline".split(),
     "foot": "footer foot bottom site-footer copyright legal colophon credits".split(),
-    "side": "sidebar side aside rail widget widgets related recommended trending popular more tags archive".split(),
+    "side": "sidebar side aside rail right left widget widgets related recommended trending popular more tags archive".split(),
     "share": "share sharing social follow buttons toolbar tools actions meta".split(),
     "form": "form search login signup subscribe contact newsletter poll".split(),
     "comment": "comments comment replies reply discussion disqus respond feedback reader-comments user-comments responses".split(),
@@ -238,7 +249,19 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> Iterator[str]:
         return f'<{tag}{attr("comment")}><h2>{words(1, 2)}{BAD}</h2>{body}</{tag}>'
 
     def form() -> str:
-        return f'<form{attr("form", 0.6)}><label>{words(1, 3)}{BAD}</label><input name="q">{"<p>" + prose() + BAD + "</p>" if r.random() < 0.5 else ""}<button>{word()}</button></form>'
+        label = f"<label>{words(1, 3)}{BAD}</label>" if r.random() < 0.7 else ""
+        text = para(BAD) if not label or r.random() < 0.5 else ""
+        return f'<form{attr("form", 0.6)}>{label}{text}<input name="q"><button>{word()}</button></form>'
+
+    def inside() -> str:
+        """What interrupts an article."""
+        kind = r.choice(("ad", "ad", "side", "share", "notice", "form", "comment", "aside"))
+        if kind == "form":
+            return form()
+        if kind == "aside":
+            return f"<aside>{para(BAD)}</aside>"
+        box = bad_box(kind)
+        return box if r.random() < 0.5 else f"<div{attr(kind)}>{''.join(para(BAD) for _ in range(r.randint(1, 3)))}</div>"
 
     def article() -> str:
         parts = []
@@ -261,15 +284,15 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> Iterator[str]:
                 parts.append(f"<figure><img src=x><figcaption>{sentence()}{GOOD}</figcaption></figure>")
             elif x < 0.90:
                 parts.append(f"<pre>{words(3, 9)}{GOOD}</pre>")
-            elif x < 0.95:
-                parts.append(bad_box(r.choice(("ad", "side", "share", "notice"))))
-            else:
+            elif x < 0.92:
                 parts.append(f"<div>{prose()}{GOOD}</div>")
+            else:
+                parts.append(inside())
         return "".join(parts)
 
     for _ in range(n):
         before, after = [], []
-        for chance, make in ((0.3, lambda: bad_box("notice")), (0.6, lambda: f'<header{attr("head", 0.6)}><{"h1" if r.random() < 0.15 else "div"}{attr("head", 0.5)}>{words(1, 5)}{BAD}</div></header>' if r.random() < 0.6 else f'<div{attr("head")}>{words(1, 6)}{BAD}</div>')):
+        for chance, make in ((0.4, lambda: bad_box("notice")), (0.6, lambda: f'<header{attr("head", 0.6)}><{"h1" if r.random() < 0.15 else "div"}{attr("head", 0.5)}>{words(1, 5)}{BAD}</div></header>' if r.random() < 0.6 else f'<div{attr("head")}>{words(1, 6)}{BAD}</div>')):
             if r.random() < chance:
                 before.append(make())
         if r.random() < 0.85:
@@ -318,7 +341,7 @@ def model(n: int = TRAIN_PAGES, seed: int = SEED) -> tuple[dict[str, int], np.nd
         for x in f:
             seen[x] = seen.get(x, 0) + 1
     number = {x: i for i, x in enumerate(sorted(x for x, c in seen.items() if c >= 3))}
-    w, trans = fit_field(_matrix(rows, number), np.array(per), np.array(y), np.ones(len(per)), len(number) + 1, steps=200)
+    w, trans = fit_field(_matrix(rows, number), np.array(per), np.array(y), np.ones(len(per)), len(number) + 1, steps=250, penalty=0.1)
     return number, w, trans
 
 

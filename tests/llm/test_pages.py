@@ -58,3 +58,16 @@ def test_pages(spark):
     assert all(r.n_chars == len(r.text) for r in got)
     assert [r.text for r in got if r.page_id in (2, 3, 5)] == ["", "", ""]
     assert html_extract.main_text(df.limit(0)).count() == 0
+
+
+def test_broken_pages_are_read_in_one_pass():
+    import time
+
+    for unit in ('<a x="', "<div", "<!", "<p title='a<b", '<b x="1" y="2" ', "<div><b>", "</div>", "&", "<li>", "<td>x", "<script", "<"):
+        began = time.time()
+        html_extract.blocks(unit * 40_000)
+        assert time.time() - began < 20, unit
+    assert html_extract.blocks('<p title="a < b" class=x>t')[0][0] == "t"
+    assert [b[0] for b in html_extract.blocks("<table><tr><td>a<td>b<tr><td>c</table>d")] == ["a", "b", "c", "d"]
+    assert [b[0] for b in html_extract.blocks("<ul><li>a<ul><li>b</ul><li>c</ul>")] == ["a", "b", "c"]
+    assert [b[0] for b in html_extract.blocks("<h1>a<p>b<h2>c</h2>")] == ["a", "b", "c"]
