@@ -30,8 +30,9 @@ from newsloom.llm._shared import components, drop_written, fresh, keep_rows, sha
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
-#: Shingles that a block of a cluster holds, about; a verification task holds two blocks (16 bytes a shingle and index).
-BLOCK_SHINGLES = 250_000
+#: A cluster of n shingles has min(n / SMALL_BLOCK, SPREAD + n / BLOCK_SHINGLES) blocks: a block holds BLOCK_SHINGLES at most, about (a task holds
+#: two of them, some 200 MB), and clusters of middling size are spread over more tasks. Each set goes to as many tasks as its cluster has blocks.
+SMALL_BLOCK, SPREAD, BLOCK_SHINGLES = 50_000, 8, 1_000_000
 U = np.uint64
 
 
@@ -229,7 +230,7 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, similarity: Fraction = Fracti
     cluster = written(components(near, "clusters"), "cluster")
 
     sized = nodes.select("node", "d1", "d2", "low", "n").join(cluster, "node")
-    g = sized.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("g"))
+    g = sized.groupBy("root").agg(F.ceil(F.least(F.sum("n") / SMALL_BLOCK, SPREAD + F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("g"))
     sized = written(sized.join(g, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("g")).cast("int")), "blocks")
     # the whole sets of clustered nodes, read again from the texts
     want = sized.select(F.col("low").alias("_low"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "node", "root", "block", "g")
