@@ -125,6 +125,8 @@ def story_rank(df: DataFrame) -> DataFrame:
 
 def document_header(s: DataFrame) -> DataFrame:
     """One row: feeds, distinct articles, stories, counts of kinds."""
-    a = s.select(F.explode("articles").alias("a")).agg(F.countDistinct("a.feed").alias("feeds"), F.countDistinct(links.normalize_link(F.col("a.link"))).alias("article_count"))
-    k = s.agg(F.count("*").alias("story_count"), *[F.count_if(F.col("kind") == x).alias(x) for x in ("story", "roundup", "deal")])
-    return a.crossJoin(F.broadcast(k))
+    rows = s.select("story", "kind", F.explode("articles").alias("a"))
+    kinds = [F.countDistinct(F.when(F.col("kind") == x, F.col("story"))).alias(x) for x in ("story", "roundup", "deal")]
+    return rows.agg(
+        F.countDistinct("a.feed").alias("feeds"), F.countDistinct(links.normalize_link(F.col("a.link"))).alias("article_count"), F.countDistinct("story").alias("story_count"), *kinds
+    )

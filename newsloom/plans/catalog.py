@@ -254,7 +254,7 @@ def story_board(spark, d):
 WITH c AS (SELECT n_name AS story, c_mktsegment AS outlet, count(*) AS n, min(c_custkey) AS first FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)
 SELECT story, outlet, n FROM (SELECT *, row_number() OVER (PARTITION BY story ORDER BY n DESC, first) AS k FROM c) WHERE k = 1""")
 def modal_outlet(spark, d):
-    c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return stories.modal(c.select(F.col("n_name").alias("story"), F.col("c_mktsegment").alias("outlet"), "c_custkey"), ["story"], "outlet", "c_custkey").where("place = 1").select("story", "outlet", "n")
 
 
@@ -398,7 +398,7 @@ FROM t JOIN (SELECT file, median(n) AS med, round(stddev_samp(n), 6) AS dev FROM
 def file_metrics(spark, d):
     """A region is a file of nations, segments and customers."""
     dim = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    c = table(spark, d, "customer").join(F.broadcast(dim), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = table(spark, d, "customer").join(dim, F.col("c_nationkey") == F.col("n_nationkey"))
     entry = F.struct("c_name", F.struct(F.col("c_name").alias("title"), F.col("n_name").alias("source")))
     s = c.groupBy("r_name", "n_name", "c_mktsegment").agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
     t = s.groupBy("r_name", "n_name").agg(F.map_from_entries(F.collect_list(F.struct("c_mktsegment", "m"))).alias("m"))
@@ -433,7 +433,7 @@ def publish_gate(spark, d):
 def _cards(spark, d) -> DataFrame:
     """Nations as stories: segments are outlets, customers articles, the region the section."""
     dim = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    c = table(spark, d, "customer").join(F.broadcast(dim), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = table(spark, d, "customer").join(dim, F.col("c_nationkey") == F.col("n_nationkey"))
     seg = c.groupBy("n_name", "r_name", "c_mktsegment").agg(F.count("*").alias("n"))
     s = seg.groupBy(F.col("n_name").alias("id"), F.col("r_name").alias("section")).agg(
         F.count("*").alias("outlet_count"), F.sum("n").alias("article_count"), F.collect_list(F.struct(F.col("c_mktsegment").alias("outlet"), F.col("n").alias("articles"))).alias("outlets")

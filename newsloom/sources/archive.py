@@ -89,14 +89,14 @@ def emit(fact: DataFrame, stamp: str, version: str, writer: str, local: str | No
 def emit_stories(stories: DataFrame, momentum: DataFrame, new_state: DataFrame, path: str, state_path: str, gated: bool = True, **limits) -> tuple[bool, str]:
     """Stories, momentum and, last, the state, if the gate lets them through."""
     spark = stories.sparkSession
-    new = stories.agg(F.sum("article_count").alias("new"))
+    new = stories.agg(F.sum("article_count")).first()[0] or 0
     try:
-        old = spark.read.parquet(f"{path}/stories").agg(F.sum("article_count").alias("old"))
+        old = spark.read.parquet(f"{path}/stories").agg(F.sum("article_count")).first()[0]
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        old = spark.createDataFrame([(None,)], "old long")
-    ok, reason = new.crossJoin(F.broadcast(old)).select(gate(F.coalesce("new", F.lit(0)), F.col("old"), **limits).alias("g")).first().g
+        old = None
+    ok, reason = spark.createDataFrame([(new, old)], "new long, old long").select(gate(F.col("new"), F.col("old"), **limits).alias("g")).first().g
     if gated and not ok:
         return False, reason
     stories.write.mode("overwrite").parquet(f"{path}/stories")
