@@ -25,7 +25,7 @@ BLOCK = 32_768
 
 
 def _digest(c):
-    """128 bits in two longs, to find a block again."""
+    """96 bits in two longs, to find a block again."""
     return F.xxhash64(c).alias("h1"), F.hash(c, F.length(c)).cast("long").alias("h2")
 
 
@@ -44,10 +44,10 @@ def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     blocks = docs.select("doc_id", text).select(
         F.monotonically_increasing_id().alias("rid"), "doc_id", F.sha2("text", 256).alias("sha"), cut.alias("cut")
     )
-    blocks = blocks.select("rid", "doc_id", "sha", F.size("cut").alias("n_blocks"), F.posexplode("cut").alias("i", "block"))
+    blocks = blocks.select("rid", "doc_id", "sha", F.size("cut").alias("n_blocks"), F.posexplode_outer("cut").alias("i", "block"))
     compact = written(blocks.select("rid", "doc_id", "sha", "n_blocks", "i", *_digest(F.col("block"))), "blocks")
 
-    contents = docs.select(text).select(F.explode(cut).alias("block")).select(*_digest(F.col("block")), "block")
+    contents = docs.select(text).select(F.explode_outer(cut).alias("block")).select(*_digest(F.col("block")), "block")
     names = written(_named(contents, ["h1", "h2", "block"]).select("h1", "h2", "name"), "names")
     shared = names.groupBy("h1", "h2").agg(F.count("*").alias("k")).where("k > 1")
     if shared.isEmpty():
