@@ -318,6 +318,44 @@ def test_passages(docs, unique):
         assert len(hit[d] - set().union(*spans)) <= substring_dedup.SLACK * max(1, len(spans))
 
 
+def near_passages():
+    """Pairs of documents that share a passage of n words with one word changed, put in or left out at every place."""
+    rows, want = [], {}
+    r = random.Random(5)
+    for n in (50, 60, 70, 110):
+        for at in range(n):
+            for kind in ("change", "insert", "delete", "delete two"):
+                p = [f"p{r.random()}" for _ in range(n)]
+                q = p[:at] + ([f"n{r.random()}"] if kind in ("change", "insert") else []) + p[at + ("insert", "delete two").index(kind) * 2 if kind in ("insert", "delete two") else at + 1 :]
+                docs = [[f"a{r.random()}" for _ in range(12)] + x + [f"z{r.random()}" for _ in range(15)] for x in (p, q)]
+                s = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (p, q)]
+                clear = 5 <= at < n - 6  # else the change is at an end and the passage may be what stands beside it
+                if clear and len(p) >= 50 and 5 * len(s[0] & s[1]) >= 4 * len(s[0] | s[1]):
+                    want[len(rows)] = (12, 12 + n, len(rows) + 1)
+                rows += [(len(rows) + k, " ".join(d)) for k, d in enumerate(docs)]
+    return rows, want
+
+
+def test_near_passages_with_a_change_at_every_place(spark):
+    rows, want = near_passages()
+    got = {g.doc_id: g for g in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > 500
+    for d, (first, end, partner) in want.items():
+        assert [tuple(s) for s in got[d].spans] == [(first, end)] and got[d].partner_id == partner
+
+
+def test_a_passage_has_one_partner(spark):
+    r = random.Random(6)
+    new = lambda n: [f"w{r.random()}" for _ in range(n)]
+    e, f, left, right = new(30), new(30), new(24), new(35)
+    docs = [new(20) + e + f + new(20), new(40) + e + new(40), new(40) + f + new(40)]
+    # the smallest document of the run has it alone; the two others are similar beyond it
+    docs += [new(50) + right + new(50), new(9) + left + new(1) + right + new(9), new(9) + left + new(1) + right + new(9)]
+    got = substring_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")).collect()
+    spans = {g.doc_id: [tuple(s) for s in g.spans] for g in got}
+    assert spans == {0: [], 1: [], 2: [], 3: [], 4: [(9, 69)], 5: [(9, 69)]}
+
+
 def test_quality_features_and_field():
     bad = "AAA!! BBB!! CCC!!\nXX | YY | ZZ | QQ"
     good = "This is a plain sentence with some words.\nAnd another one, of the same kind, follows here."
