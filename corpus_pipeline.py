@@ -10,7 +10,7 @@ from newsloom.llm._shared import written
 STAGES = [
     ("quality", quality_crf.stage),
     ("exact_dedup", exact_dedup.stage),
-    ("near_dedup", near_dedup.stage),
+    ("near_dedup", near_dedup.pipeline_stage),
     ("decontamination", decontam.stage),
     ("source_mix", mixing.stage),
 ]

@@ -30,6 +30,8 @@ from newsloom.llm._shared import components, drop_written, fresh, keep_rows, sha
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
+#: The pipeline's stage; a pair at its similarity shares none of its bands with probability 3e-6.
+STAGE_SIMILARITY, STAGE_BANDS = Fraction(80, 100), 32
 #: A cluster of n shingles has min(n / SMALL_BLOCK, SPREAD + n / BLOCK_SHINGLES) blocks: a block holds BLOCK_SHINGLES at most, about (a task holds
 #: two of them, some 200 MB), and clusters of middling size are spread over more tasks. Each set goes to as many tasks as its cluster has blocks.
 SMALL_BLOCK, SPREAD, BLOCK_SHINGLES = 50_000, 8, 1_000_000
@@ -258,11 +260,16 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: of each group of near duplicates (similarity 0.85 on five-word shingles) the smallest doc_id stays."""
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, similarity: Fraction = Fraction(85, 100), bands: int = BANDS) -> DataFrame:
+    """Of each group of near duplicates (on five-word shingles) the smallest doc_id stays."""
     if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # doc_id alone doesn't name a row
         named = docs.select(F.struct("doc_id", sha_of(F.col("text")).alias("sha")).alias("doc_id"), "text")
-        return keep_rows(docs, near_groups(named).where("kept").select("doc_id.doc_id", "doc_id.sha"), single=True)
+        return keep_rows(docs, near_groups(named, similarity=similarity, bands=bands).where("kept").select("doc_id.doc_id", "doc_id.sha"), single=True)
     (i,) = fresh(docs.columns, "key_id")
-    kept = near_groups(docs).where("kept").select(F.col("doc_id").alias(i))
+    kept = near_groups(docs, similarity=similarity, bands=bands).where("kept").select(F.col("doc_id").alias(i))
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(i)), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline: stage() at a similarity of 0.8."""
+    return stage(spark, docs, sf_dir, STAGE_SIMILARITY, STAGE_BANDS)

@@ -356,6 +356,16 @@ def test_a_passage_has_one_partner(spark):
     assert spans == {0: [], 1: [], 2: [], 3: [], 4: [(9, 69)], 5: [(9, 69)]}
 
 
+def test_stage_links_at_four_fifths(spark):
+    r = random.Random(8)
+    a = [f"w{r.random()}" for _ in range(100)]
+    b = ["x" if i in (30, 60) else w for i, w in enumerate(a)]  # 86 / 106
+    c = ["x" if i in (20, 50, 80) else w for i, w in enumerate(a)]  # 81 / 111
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate((a, b, c))], "doc_id long, text string")
+    assert sorted(x.doc_id for x in near_dedup.pipeline_stage(spark, df, "").collect()) == [0, 2]
+    assert near_dedup.near_groups(df).where("kept").count() == 3  # op7 keeps 0.85
+
+
 def test_quality_features_and_field():
     bad = "AAA!! BBB!! CCC!!\nXX | YY | ZZ | QQ"
     good = "This is a plain sentence with some words.\nAnd another one, of the same kind, follows here."
