@@ -37,7 +37,11 @@ _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")
 #: Elements whose content is no text of the page.
-SILENT = frozenset("script style template noscript svg math iframe object canvas audio video select textarea title head button datalist map".split())
+SILENT = frozenset("script style template noscript iframe select textarea title head button datalist".split())
+#: Elements that can be closed by a slash in their opening tag.
+FOREIGN = frozenset("svg math".split())
+#: What can stand in a head; any other tag, or text, ends one that is open.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title script style noscript template".split())
 RAW = frozenset("script style textarea title iframe noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that make blocks.
@@ -95,6 +99,8 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         return -1
 
     def say(t: str) -> None:
+        if silent and stack[-1][0] == "head" and t.strip():
+            close(len(stack) - 1)
         if not silent and t:
             text.append(t)
             linked.append(links > 0)
@@ -122,6 +128,8 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
             elif tag in BLOCK:
                 flush()
             continue
+        if tag not in IN_HEAD and stack and stack[-1][0] == "head":
+            close(len(stack) - 1)
         if tag == "br":
             say(" ")
             continue
@@ -144,7 +152,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
             at = shut.end() if shut else end
             continue
         attrs = m[3] if m[2] else m[6]
-        if attrs and attrs.rstrip().endswith("/") and tag in SILENT:
+        if attrs and attrs.rstrip().endswith("/") and (tag in SILENT or tag in FOREIGN):
             continue
         more: tuple[str, ...] = ()
         if attrs and "=" in attrs:

@@ -71,3 +71,13 @@ def test_broken_pages_are_read_in_one_pass():
     assert [b[0] for b in html_extract.blocks("<table><tr><td>a<td>b<tr><td>c</table>d")] == ["a", "b", "c", "d"]
     assert [b[0] for b in html_extract.blocks("<ul><li>a<ul><li>b</ul><li>c</ul>")] == ["a", "b", "c"]
     assert [b[0] for b in html_extract.blocks("<h1>a<p>b<h2>c</h2>")] == ["a", "b", "c"]
+
+
+def test_open_heads_and_embedded_text():
+    told = lambda page: [b[0] for b in html_extract.blocks(page)]
+    for begin in ("<body>", "<div>", "<p>", "", "<span>"):
+        assert told(f"<html><head><meta charset=x><title>T</title><style>p{{}}</style>{begin}Text of it.") == ["Text of it."]
+    assert told("<head>\n<title>T</title></head><body>a") == ["a"]
+    for tag in "math svg object canvas audio video map".split():
+        assert told(f"<article><p>one <{tag}>two</{tag}> three</p></article>") == ["one two three"]
+    assert told("<p>a <svg/>b<select><option>no</select><button>no</button></p><p>c") == ["a b", "c"]
