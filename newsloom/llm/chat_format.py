@@ -10,8 +10,8 @@ Position: (at, step, turn): at is the turn, or for a result that came before its
 positions (repeated turns) are ordered by the JSON.
 
 Defined results: role null is 'user', text null is ''; a text that isn't such an object is content; of calls that share an
-identifier within a conversation the first (smallest turn) is linked, the others are flagged duplicate; a result
-without a call is flagged orphan; a call without a result is unanswered; a tool without a schema accepts any
+identifier within a conversation the first (smallest turn) is linked, the others are flagged duplicate (their identifiers, in messages(); the
+query's columns are those of its SQL); a result without a call is flagged orphan; a call without a result is unanswered, as a duplicate is; a tool without a schema accepts any
 object; repeated rows stay; further columns are ignored; an empty table gives none.
 """
 
@@ -27,7 +27,7 @@ SCHEMAS: dict[str, dict[str, tuple[str, bool]]] = {
     "weather": {"city": ("string", True), "days": ("integer", False), "metric": ("boolean", False)},
 }
 
-_CALL = "array<struct<id:string,name:string,arguments:map<string,string>>>"
+_CALL = "array<struct<id:string,name:string,arguments:map<string,variant>>>"
 
 
 def quoted(c: Column) -> Column:
@@ -37,9 +37,9 @@ def quoted(c: Column) -> Column:
 
 
 def _typed(value: Column, kind: str) -> Column:
-    """Whether a JSON scalar (as from_json's text) is of the kind."""
-    test = {"integer": r"^-?\d+$", "number": r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$", "boolean": "^(true|false)$"}.get(kind)
-    return F.lit(True) if test is None else value.rlike(test)
+    """Whether a JSON value is of the kind; a string that looks like a number isn't one."""
+    test = {"integer": r"^(BIGINT|DECIMAL\(\d+,0\))$", "number": r"^(BIGINT|DECIMAL|DOUBLE|FLOAT)", "boolean": "^BOOLEAN$", "string": "^STRING$", "array": "^ARRAY", "object": "^OBJECT"}.get(kind)
+    return F.lit(True) if test is None else F.schema_of_variant(value).rlike(test)
 
 
 def problems(name: Column, args: Column, schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
@@ -68,12 +68,25 @@ def messages(turns: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] =
     t = t.withColumn("calls", F.when(is_call, F.col("p.tool_calls"))).withColumn("answers", F.when(is_result, F.col("p.tool_call_id")))
     t = t.withColumn("content", F.when(is_call | is_result, F.coalesce("p.content", F.lit(""))).otherwise(F.col("text"))).drop("p")
 
-    call = t.where("calls is not null").select("conv_id", "turn", F.explode("calls").alias("c"))
-    call = call.where("c.id is not null").groupBy("conv_id", F.col("c.id").alias("id")).agg(F.min("turn").alias("call_turn"), F.count("*").alias("n_same"))
-    call = call.select(F.col("conv_id").alias("_conv"), F.col("id").alias("_id"), "call_turn", "n_same")
+    call = t.where("calls is not null").select("conv_id", "turn", F.posexplode("calls").alias("pos", "c"))
+    call = call.where("c.id is not null").groupBy("conv_id", F.col("c.id").alias("id")).agg(F.min(F.struct("turn", "pos")).alias("first"))
+    call = call.select(F.col("conv_id").alias("_conv"), F.col("id").alias("_id"), "first", F.col("first.turn").alias("call_turn"))
     same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("answers") == F.col("_id"))
-    plain = t.where("answers is null").select("*", F.lit(None).cast(t.schema["turn"].dataType).alias("call_turn"))
-    t = plain.unionByName(t.where("answers is not null").join(call, same, "left").drop("_conv", "_id", "n_same"))
+    no_turn, no_list = F.lit(None).cast(t.schema["turn"].dataType).alias("call_turn"), F.array().cast("array<string>")
+    plain = t.where("answers is null and calls is null").select("*", no_turn, no_list.alias("duplicate"), no_list.alias("unanswered"))
+    results = t.where("answers is not null").join(call, same, "left").drop("_conv", "_id", "first")
+    results = results.select("*", no_list.alias("duplicate"), no_list.alias("unanswered"))
+    # each call of a message with the first of its identifier and whether a result has it
+    answered = t.where("answers is not null").select(F.col("conv_id").alias("_of"), F.col("answers").alias("_answers")).distinct()
+    calling = t.where("calls is not null").withColumn("row", F.monotonically_increasing_id())
+    told = calling.select("row", F.struct(*t.columns).alias("all"), "conv_id", "turn", F.posexplode("calls").alias("pos", "c")).withColumn("id", F.col("c.id"))
+    told = told.join(call, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("id") == F.col("_id")), "left")
+    told = told.join(answered, F.col("conv_id").eqNullSafe(F.col("_of")) & (F.col("id") == F.col("_answers")), "left")
+    later = F.col("first") < F.struct("turn", "pos")
+    name = F.coalesce("id", F.lit(""))
+    told = told.groupBy("row").agg(F.first("all").alias("all"), F.array_sort(F.collect_list(F.when(later, name))).alias("duplicate"), F.array_sort(F.collect_list(F.when(later | F.col("_answers").isNull(), name))).alias("unanswered"))
+    calling = told.select("all.*", "duplicate", "unanswered", no_turn)
+    t = plain.unionByName(results).unionByName(calling)
 
     late = F.col("call_turn") > F.col("turn")
     problem = F.transform("calls", lambda c: F.when(c["arguments"].isNull(), F.array(F.lit("arguments"))).otherwise(problems(c["name"], c["arguments"], schemas)))
@@ -94,14 +107,14 @@ def messages(turns: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] =
         F.coalesce(F.size("calls"), F.lit(0)).alias("n_calls"),
         "call_turn",
         (F.col("answers").isNotNull() & F.col("call_turn").isNull()).alias("orphan"),
-        "problems",
+        "problems", "duplicate", "unanswered",
         body.alias("message"),
     )
 
 
 def _value(v: Column) -> Column:
-    """A JSON value as from_json gave it as text: numbers, booleans, objects and arrays as they are, else a string."""
-    return F.when(v.isNull(), F.lit("null")).when(v.rlike(r'^(-?\d+(\.\d+)?|true|false)$') | v.rlike(r"^[\[{].*[\]}]$"), v).otherwise(quoted(v))
+    """A JSON value by its own type; a variant's keys are sorted at every depth."""
+    return F.when(v.isNull() | F.is_variant_null(v), F.lit("null")).when(F.schema_of_variant(v) == "STRING", quoted(v.cast("string"))).otherwise(F.to_json(v))
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

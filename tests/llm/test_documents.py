@@ -429,6 +429,27 @@ def test_chat(spark):
     assert by[2, 1].message == '{"content":"","role":"user"}' and by[None, 0].message == '{"content":"{not json","role":"user"}'
 
 
+def test_chat_argument_types_duplicates_and_unanswered(spark):
+    import json
+
+    def call(*calls):
+        return json.dumps({"tool_calls": [{"id": i, "name": n, "arguments": a} for i, n, a in calls]}, ensure_ascii=False)
+
+    odd = {"query": "2024", "z": {"b": [{"d": 1, "c": "0123"}], "a": None}, "y": "[a] or [b]", "x": "true", "w": 1.5, "v": False, "u": "{}", "t": 'é "q"', "s": None}
+    rows = [
+        (1, 0, "assistant", call(("a", "search", odd), ("b", "search", {"query": 5, "limit": "5"}))), (1, 1, "assistant", call(("a", "weather", {"city": "x", "days": 2, "metric": True}))),
+        (1, 2, "tool", '{"tool_call_id":"a","content":"r"}'), (2, 0, "assistant", call(("c", "weather", {"city": None, "days": 1.5, "metric": "true"}), ("c", "other", {}))), (2, 1, "user", "x"),
+    ]
+    got = {(r.conv_id, r.turn): r for r in chat_format.messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert len(got) == 5
+    first = json.loads(got[1, 0].message)["tool_calls"][0]["arguments"]
+    assert first == odd
+    assert json.dumps(odd, sort_keys=True, separators=(",", ":"), ensure_ascii=False) in got[1, 0].message
+    assert got[1, 0].problems == sorted(f"unknown:{k}" for k in "stuvwxyz") + ["type:limit", "type:query"]
+    assert got[2, 0].problems == ["type:city", "type:days", "type:metric"] and got[1, 1].problems == []
+    assert [(got[k].duplicate, got[k].unanswered) for k in sorted(got)] == [([], ["b"]), (["a"], ["a"]), ([], []), (["c"], ["c", "c"]), ([], [])]
+
+
 def test_stages_keep_columns_and_take_effect(spark, docs, tmp_path):
     df, rows = docs
     cols = df.columns
