@@ -12,7 +12,9 @@ positions (repeated turns) are ordered by the JSON.
 Defined results: role null is 'user', text null is ''; a text that isn't such an object is content; of calls that share an
 identifier within a conversation the first (smallest turn) is linked, the others are flagged duplicate (their identifiers, in messages(); the
 query's columns are those of its SQL); a result without a call is flagged orphan; a call without a result is unanswered, as a duplicate is; a tool without a schema accepts any
-object; repeated rows stay; further columns are ignored; an empty table gives none.
+object; arguments may be an object or a string that holds one, which is read; anything else is the problem "arguments" and is written as it came (none:
+{}); of a key that an object repeats the last counts; a number is written by its value (whole and decimal ones of up to 38 digits exactly, others as the
+nearest double); repeated rows stay; further columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ SCHEMAS: dict[str, dict[str, tuple[str, bool]]] = {
     "weather": {"city": ("string", True), "days": ("integer", False), "metric": ("boolean", False)},
 }
 
-_CALL = "array<struct<id:string,name:string,arguments:map<string,variant>>>"
+_CALL = "array<struct<id:string,name:string,arguments:variant>>"
 
 
 def quoted(c: Column) -> Column:
@@ -42,6 +44,15 @@ def _typed(value: Column, kind: str) -> Column:
     return F.lit(True) if test is None else F.schema_of_variant(value).rlike(test)
 
 
+def _read(call: Column) -> Column:
+    """A call with its arguments as a map, null if they are no object; raw: as they came."""
+    raw = call["arguments"]
+    kind = F.schema_of_variant(raw)
+    inner = F.when(kind == "STRING", F.try_parse_json(raw.cast("string"))).otherwise(raw)
+    object_ = F.when(F.schema_of_variant(inner).startswith("OBJECT"), inner)
+    return F.struct(call["id"].alias("id"), call["name"].alias("name"), object_.cast("map<string,variant>").alias("arguments"), raw.alias("raw"))
+
+
 def problems(name: Column, args: Column, schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
     """Sorted problems of a call's arguments: missing:p, type:p, unknown:p."""
     known = F.lit(None).cast("array<string>")
@@ -63,6 +74,7 @@ def messages(turns: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] =
     is_json = F.col("text").startswith("{")
     parsed = F.when(is_json, F.from_json("text", f"content string, tool_call_id string, tool_calls {_CALL}"))
     t = t.withColumn("p", parsed)
+    t = t.withColumn("p", F.col("p").withField("tool_calls", F.transform("p.tool_calls", _read)))
     is_call = (F.col("role") == "assistant") & F.coalesce(F.size("p.tool_calls") > 0, F.lit(False))
     is_result = (F.col("role") == "tool") & F.col("p.tool_call_id").isNotNull()
     t = t.withColumn("calls", F.when(is_call, F.col("p.tool_calls"))).withColumn("answers", F.when(is_result, F.col("p.tool_call_id")))
@@ -94,7 +106,8 @@ def messages(turns: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] =
 
     def args(c: Column) -> Column:
         pairs = F.transform(F.array_sort(F.map_keys(c["arguments"])), lambda k: F.concat(quoted(k), F.lit(":"), _value(c["arguments"][k])))
-        return F.concat(F.lit("{"), F.array_join(F.coalesce(pairs, F.array().cast("array<string>")), ","), F.lit("}"))
+        whole = F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+        return F.coalesce(whole, F.when(c["raw"].isNotNull(), _value(c["raw"])), F.lit("{}"))
 
     one = F.transform("calls", lambda c: F.concat(F.lit('{"arguments":'), args(c), F.lit(',"id":'), quoted(c["id"]), F.lit(',"name":'), quoted(c["name"]), F.lit("}")))
     tail = F.when(F.col("answers").isNotNull(), F.concat(F.lit(',"tool_call_id":'), quoted(F.col("answers"))))
