@@ -5,28 +5,54 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Elements of a chain that are taken one after the other; longer chains are cut into segments whose maps are composed.
+STEP = 512
+
+
+def _sweep(u: np.ndarray, per: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Forward values of chains laid end to end: all segments of STEP elements in lockstep, entered through the composed maps of those before."""
+    n_seg = -(-per // STEP)
+    chain = np.repeat(np.arange(len(per)), n_seg)
+    nth = np.arange(len(chain)) - np.repeat(np.cumsum(n_seg) - n_seg, n_seg)
+    begin = (np.cumsum(per) - per)[chain] + nth * STEP
+    size = np.minimum(per[chain] - nth * STEP, STEP)
+    order = np.argsort(-size, kind="stable")
+    first, longest = begin[order], int(size.max(initial=0))
+    alive = np.searchsorted(-size[order], -np.arange(1, longest + 1), "right")
+    # a chain's first element is entered from both labels alike and without a transition
+    enter = np.where((nth == 0)[:, None, None], 0.0, trans[None])[order]
+    entry = np.full((len(chain), 2), -np.log(2))
+    if int(nth.max(initial=0)):
+        maps = enter + u[first][:, None, :]
+        for t in range(1, longest):
+            m = maps[: alive[t]]
+            maps[: alive[t]] = np.logaddexp(m[:, :, :1] + trans[0], m[:, :, 1:] + trans[1]) + u[first[: alive[t]] + t][:, None, :]
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        maps = maps[back]
+        for k in range(1, int(nth.max()) + 1):
+            s = np.flatnonzero(nth == k)
+            entry[s] = np.logaddexp(entry[s - 1][:, :1] + maps[s - 1, 0], entry[s - 1][:, 1:] + maps[s - 1, 1])
+    now = entry[order]
+    out = np.zeros_like(u)
+    for t in range(longest):
+        m = alive[t]
+        tr = enter[:m] if t == 0 else trans[None]
+        now = np.logaddexp(now[:m, :1] + tr[:, 0], now[:m, 1:] + tr[:, 1]) + u[first[:m] + t]
+        out[first[:m] + t] = now
+    return out
+
+
 def marginals(unary: np.ndarray, per: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """unary: score of good minus bad for each line; trans: 2 x 2. P(good) of each line, expected transitions, log Z.
 
-    Forward and backward passes run over all texts at once, line by line, longest texts first, so each step is one array.
+    Forward and backward passes run over all texts at once; a text of very many lines is cut into segments (_sweep).
     """
     begin = np.cumsum(per) - per
-    order = np.argsort(-per, kind="stable")
-    longest = int(per.max(initial=0))
-    alive = np.searchsorted(-per[order], -np.arange(1, longest + 1), "right")
     u = np.zeros((len(unary), 2))
     u[:, 1] = unary
-    alpha, beta = np.zeros((len(unary), 2)), np.zeros((len(unary), 2))
-    firsts = begin[order]
-    alpha[firsts] = u[firsts]
-    for t in range(1, longest):
-        i = firsts[: alive[t]] + t
-        alpha[i] = u[i] + np.logaddexp(alpha[i - 1][:, :1] + trans[0], alpha[i - 1][:, 1:] + trans[1])
-    for t in range(longest - 2, -1, -1):
-        i = firsts[: alive[t + 1]] + t
-        x = u[i + 1] + beta[i + 1]
-        beta[i, 0] = np.logaddexp(trans[0, 0] + x[:, 0], trans[0, 1] + x[:, 1])
-        beta[i, 1] = np.logaddexp(trans[1, 0] + x[:, 0], trans[1, 1] + x[:, 1])
+    alpha = _sweep(u, per, trans)
+    beta = _sweep(u[::-1], per[::-1], trans.T)[::-1] - u
     last = begin + per - 1
     log_z = np.logaddexp(alpha[last, 0], alpha[last, 1])
     z = np.repeat(log_z, per)

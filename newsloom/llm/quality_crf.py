@@ -7,12 +7,12 @@ the document's score through a two-parameter-per-summary logistic layer.
 
 Training: documents' labels stand for their lines at first; then lines that the fitted field itself finds typical of good
 documents inside bad ones are relabelled (hard EM, EM_ROUNDS rounds) and the field is fitted again. Only
-SAMPLE labelled documents, those of the smallest hash, are used and of each at most TRAIN_LINES lines:
-the bound is documented, it holds for fitting alone; scoring reads every line of every text.
+SAMPLE labelled documents at most, those of the smallest hash of doc_id, are used, and of these in the same order as many whole texts as have
+SAMPLE_LINES lines together: these bounds on labelled rows hold for fitting alone, and no text is cut; scoring reads every line of every text.
 
 Never inputs of a score: labels, lang, source, doc_id. Defined results: text null or empty is one empty line; labels
-null are ignored; of contradicting labels the smaller counts; without labels of both kinds every score is 1;
-rows with equal doc_id are scored apart; an empty table gives none.
+null are ignored; of contradicting labels the smaller counts; of rows that share a labelled doc_id one trains (the smallest hash of its lines' features);
+without labels of both kinds every score is 1; rows with equal doc_id are scored apart; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -21,15 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm import textops
-from newsloom.llm._shared import fresh, ship
+from newsloom.llm._shared import fresh, ship, written
 from newsloom.llm.crf import fit_field, marginals
 
 SAMPLE = 6_000
-TRAIN_LINES = 300
+#: 72 bytes each in the driver.
+SAMPLE_LINES = 1_000_000
 EM_ROUNDS = 2
 
 #: Character classes of a byte; bytes of other scripts' characters count as letters.
@@ -193,35 +195,47 @@ def scores(model: dict, x: np.ndarray, lens: np.ndarray, per: np.ndarray) -> np.
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, text) to (label, lens, codes) of at most TRAIN_LINES lines."""
+    """(id, label, text) to (id, label, n_lines, lens, codes), all lines of each text."""
     for batch in batches:
-        for at, data, off in textops.passes(batch.column(1)):
+        for at, data, off in textops.passes(batch.column(2)):
             f, lens, per = line_features(data, off)
-            begin = np.cumsum(per) - per
-            keep = (np.arange(len(lens)) - np.repeat(begin, per)) < TRAIN_LINES
-            per = np.minimum(per, TRAIN_LINES)
-            x = encoded(f[keep], per)
-            lens = lens[keep]
+            codes = encoded(f, per).astype(np.int16)
             offs = np.concatenate([[0], np.cumsum(per)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, len(per)), textops.long_lists(lens, per), pa.array([x[a:b].astype(np.int16).tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)], pa.binary())],
-                names=["label", "lens", "codes"],
+                [
+                    batch.column(0).slice(at, len(per)), batch.column(1).slice(at, len(per)), textops.longs(per),
+                    textops.long_lists(lens, per), pa.array([codes[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)], pa.binary()),
+                ],
+                names=["id", "label", "n_lines", "lens", "codes"],
             )
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
-    """docs (doc_id, text), labels (doc_id, label 0/1): the model fitted on the `sample` labelled documents of smallest hash."""
+def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = SAMPLE_LINES) -> DataFrame:
+    """docs (doc_id, text), labels (doc_id, label 0/1): (id, label, lens, codes), a row for each labelled document of the sample."""
     ship(docs.sparkSession)
+    place = F.md5(F.col("doc_id").cast("string"))
     few = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
-    few = few.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
-    few = few.select(F.col("doc_id").alias("_id"), "label")
-    got = docs.join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("label", "text")
-    rows = got.mapInArrow(_encode, "label int, lens array<long>, codes binary").orderBy("label", F.md5("codes")).limit(2 * sample).toArrow()
+    few = few.orderBy(place, "doc_id").limit(sample).select(F.col("doc_id").alias("id"), "label")
+    got = docs.join(F.broadcast(few), F.col("doc_id") == F.col("id")).select("id", "label", "text")
+    kind = few.schema["id"].dataType.simpleString()
+    got = got.mapInArrow(_encode, f"id {kind}, label int, n_lines long, lens array<long>, codes binary")
+    # rows that share a doc_id are combined in their tasks, so what is shuffled is at most a row for each document and task
+    one = got.groupBy("id", "label").agg(F.min_by(F.struct("n_lines", "lens", "codes"), F.struct(F.md5("codes"), "n_lines")).alias("r")).select("id", "label", "r.*")
+    one = written(one, "sample")
+    ran = Window.orderBy(F.md5(F.col("id").cast("string")), "id").rowsBetween(Window.unboundedPreceding, 0)
+    sized = one.where(F.col("n_lines") <= lines).select("id", "n_lines").withColumn("upto", F.sum("n_lines").over(ran))  # `sample` rows at most
+    return one.join(F.broadcast(sized.where(F.col("upto") <= lines).select(F.col("id").alias("_id"))), F.col("id") == F.col("_id")).select("id", "label", "lens", "codes")
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = SAMPLE_LINES) -> dict | None:
+    """docs (doc_id, text), labels (doc_id, label 0/1): the model fitted on sampled() rows; None without labels of both kinds."""
+    rows = sampled(docs, labels, sample, lines).orderBy("label", F.md5("codes"), "id").toArrow()
     label = rows.column("label").to_numpy()
     if len(set(label.tolist())) < 2:
         return None
-    per = np.array([len(r) for r in rows.column("lens").to_pylist()], np.int64)
-    lens = np.concatenate([np.array(r, np.int64) for r in rows.column("lens").to_pylist()])
+    per = rows.column("lens").combine_chunks()
+    per = pa.compute.list_value_length(per).to_numpy(zero_copy_only=False).astype(np.int64)
+    lens = pa.compute.list_flatten(rows.column("lens")).to_numpy()
     x = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.int16).reshape(-1, 3 * len(RANGES)).astype(np.int64)
     return fit(x, lens, per, label)
 
