@@ -450,6 +450,145 @@ def test_chat_argument_types_duplicates_and_unanswered(spark):
     assert [(got[k].duplicate, got[k].unanswered) for k in sorted(got)] == [([], ["b"]), (["a"], ["a"]), ([], []), (["c"], ["c", "c"]), ([], [])]
 
 
+def test_chat_arguments_in_a_string_and_canonical_form(spark):
+    import json
+
+    r = random.Random(12)
+
+    def value(depth):
+        kind = r.randrange(9 if depth < 3 else 6)
+        if kind > 6:
+            return {r.choice(["b", "a", "é", "z\"", "0", "A"]): value(depth + 1) for _ in range(r.randrange(4))}
+        if kind == 6:
+            return [value(depth + 1) for _ in range(r.randrange(4))]
+        return r.choice([None, True, False, 0, -7, 2**60, 1.25, "", "12", "true", "null", "{x}", "[1]", 'q"\\', "a\nb\t", "日🙂"])
+
+    made = [{k: value(0) for k in r.sample(["q", "limit", "b", "a", "x y"], r.randrange(5))} for _ in range(120)]
+    rows = [(1, i, "assistant", json.dumps({"tool_calls": [{"id": "a", "name": "n", "arguments": json.dumps(a) if i % 2 else a}]})) for i, a in enumerate(made)]
+    rows += [(2, 0, "assistant", '{"tool_calls":[{"id":"a","name":"search","arguments":"not json"},{"id":"b","name":"search","arguments":[2,{"b":1,"a":2}]},{"id":"c","name":"n"}]}')]
+    got = {(x.conv_id, x.turn): x for x in chat_format.messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for i, a in enumerate(made):
+        m = got[1, i].message
+        assert json.loads(m)["tool_calls"][0]["arguments"] == a
+        assert m == json.dumps(json.loads(m), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    assert [c["arguments"] for c in json.loads(got[2, 0].message)["tool_calls"]] == ["not json", [2, {"a": 2, "b": 1}], {}]
+    assert got[2, 0].problems == ["arguments"] * 3
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string, calls string, p string, at long, id string")
+    assert chat_format.messages(none).count() == 0
+    odd = spark.createDataFrame([(1, 0, "user", "x", "c", "p", 5, "i"), (1, 0, "user", "x", "c", "p", 5, "i")], none.schema)
+    assert [x.message for x in chat_format.messages(odd).collect()] == ['{"content":"x","role":"user"}'] * 2
+
+
+def test_licence_labels_against_brute_force(spark):
+    r = random.Random(4)
+    vocab = "gnu general public license version 3 2 the under mit apache cc by nc lesser 4 0 creative commons attribution international this is".split()
+    parts = [*license_scan.TEMPLATES, *license_scan.BASE, "general public license"]
+    rows = []
+    for i in range(300):
+        w = []
+        for _ in range(r.randint(0, 6)):
+            w += r.choice(parts).split() if r.random() < 0.5 else [r.choice(vocab) for _ in range(r.randint(1, 12))]
+        rows.append((i, " ".join(w)))
+    rows += [(300, "general public license " * 5 + "gnu general public license version 3"), (301, "Public-License " * 40), (302, None), (303, "")]
+    got = spark.createDataFrame(rows, "doc_id long, text string")
+    d, spans = license_scan.license_spans(got)
+    found = defaultdict(set)
+    for x in d.join(spans, "rid").collect():
+        found[x.doc_id].add(x.label)
+        w = alnum(rows[x.doc_id][1])
+        assert 0 <= x.first < x.last <= len(w) and 0 < x.coverage <= 1
+    for i, t in rows:
+        w = alnum(t)
+        for text, label in {**license_scan.TEMPLATES, **license_scan.BASE}.items():
+            p = text.split()
+            if any(w[k : k + len(p)] == p for k in range(len(w))):
+                assert label in found[i], (i, label)
+        # a label needs enough of its template's grams in a text
+        grams = {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+        possible = set()
+        for text, label in {**license_scan.TEMPLATES, **license_scan.BASE}.items():
+            p = text.split()
+            g = [tuple(p[k : k + 3]) for k in range(len(p) - 2)]
+            if sum(x in grams for x in g) >= (len(g) if len(g) < license_scan.LONG else license_scan.COVERAGE * len(g)):
+                possible.add(label)
+        assert found[i] <= possible
+    assert "gpl-3" in found[300] and not found[301]
+
+
+def test_licence_stretches():
+    # 30 hits of one place on diagonals three words apart, then a whole template
+    at = np.array([*range(0, 90, 3), *range(95, 99)])
+    place = np.array([1] * 30 + [0, 1, 2, 3])
+    assert license_scan.stretches(at, place, 4) == [(95, 101, 1.0)]
+    assert license_scan.stretches(at[:30], place[:30], 4) == []
+
+
+def test_quality_training_rows(spark):
+    """Labelled documents whose rows repeat, and texts of very many lines, train with all that they have."""
+    bad = "\n".join(["This is a plain sentence with some words, as the others have it."] * 400 + ["XX || YY!! ZZ ## 99"] * 50)
+    good = "This is a plain sentence with some words, as the others have it."
+    rows = [(i, good if i % 2 else bad) for i in range(10) for _ in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, label int")
+    got = quality_crf.sampled(df, labels, 10).collect()
+    assert sorted((x.id, x.label) for x in got) == [(i, i % 2) for i in range(10)]
+    assert {len(x.lens) for x in got} == {1, 450}
+    assert len(quality_crf.sampled(df, labels, 4).collect()) == 4
+    # whole texts within the bound on lines, in the order of the hash
+    few = quality_crf.sampled(df, labels, 10, 460).collect()
+    assert few and all(len(x.lens) in (1, 450) for x in few) and sum(len(x.lens) for x in few) <= 460
+    m = quality_crf.train(df, labels, 10)
+    assert m is not None
+    got = {x.doc_id: x.score for x in quality_crf.scored(df, m).collect()}
+    assert all((got[i] >= 0.5) == (i % 2 == 1) for i in range(10))
+
+
+def test_quality_query(spark, tmp_path):
+    """op8 learns from rows that aren't held out alone, and nothing but the text is an input of a score."""
+    import zlib
+
+    r = random.Random(3)
+    vocab = ["".join(r.choice("abcdefg") for _ in range(r.randint(2, 7))) for _ in range(300)]
+    good = lambda: " ".join(r.choice(vocab) for _ in range(20)).capitalize() + "."
+    bad = lambda: " | ".join(r.choice(vocab).upper() + "!!" for _ in range(12))
+    rows = [(i, good() if i % 3 else bad(), "en", f"s{i % 4}", i, 0.5, True) for i in range(150)]
+    rows += [(1000 + i, rows[i][1], "de", "other", 0, 0.1, False) for i in range(20)] + [(2000, None, None, None, None, None, None), (2001, "", "", "", 0, 0.0, False), (None, rows[0][1], "", "", 0, 0.0, True)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, held_out boolean"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/b/documents.parquet")
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    labels = [(i, int(i % 3 > 0), 0) for i in range(150)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/a/labels.parquet")
+    turned = [(i, 1 - q if held(i) else q, 0) for i, q, _ in labels]
+    spark.createDataFrame(turned, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/b/labels.parquet")
+    got = quality_crf.op8_quality_crf(spark, f"{tmp_path}/a").collect()
+    assert len(got) == len(rows)
+    assert all(x.held_out == held(x.doc_id) and 0 <= x.score <= 1 and x.predicted == int(x.score >= 0.5) for x in got)
+    by = {x.doc_id: x.score for x in got}
+    assert all(by[1000 + i] == by[i] for i in range(20))
+    assert sum((by[i] >= 0.5) == (i % 3 > 0) for i in range(150)) >= 145
+    assert {x.doc_id: x.score for x in quality_crf.op8_quality_crf(spark, f"{tmp_path}/b").collect()} == by
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert quality_crf.train(empty, spark.createDataFrame(labels, "doc_id long, label int, toxic int")) is None
+    assert quality_crf.scored(empty, None).count() == 0
+
+
+def test_field_in_segments():
+    from newsloom.llm import crf
+
+    r = np.random.default_rng(0)
+    per = r.integers(1, 60, 30)
+    u, trans = r.normal(size=int(per.sum())), r.normal(size=(2, 2))
+    whole, before = crf.marginals(u, per, trans), crf.STEP
+    for step in (1, 3, 7):
+        try:
+            crf.STEP = step
+            parts = crf.marginals(u, per, trans)
+        finally:
+            crf.STEP = before
+        assert np.allclose(whole[0], parts[0]) and np.allclose(whole[1], parts[1]) and np.isclose(whole[2], parts[2])
+
+
 def test_stages_keep_columns_and_take_effect(spark, docs, tmp_path):
     df, rows = docs
     cols = df.columns
