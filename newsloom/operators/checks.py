@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 FLOOR, DEVIATION = 50, 0.6
 
 
-def gate(new: Column, previous: Column, floor: int | None = None, deviation: float | None = None) -> Column:
-    """struct(ok, reason): at least `floor` articles, and no further than `deviation` from the previous number."""
+def gate(articles: Column, stories: Column, previous_articles: Column, previous_stories: Column, floor: int | None = None, deviation: float | None = None) -> Column:
+    """struct(ok, reason): `floor` distinct articles at least, and a number of stories that is within `deviation` of the previous run's.
+
+    Without a previous run (no stories in it, or none known) only the floor counts. Numbers that are null count as 0.
+    """
     floor = int(os.environ.get("PUBLISH_FLOOR", FLOOR)) if floor is None else floor
     deviation = float(os.environ.get("PUBLISH_DEVIATION", DEVIATION)) if deviation is None else deviation
-    share = F.abs(new - previous) / previous
+    new, old = F.coalesce(articles, F.lit(0)), F.coalesce(previous_articles, F.lit(0))
+    now, before = F.coalesce(stories, F.lit(0)), F.coalesce(previous_stories, F.lit(0))
+    share = F.abs(now - before) / before
     reason = (
-        F.when(new < floor, F.concat(F.lit("only "), new.cast("string"), F.lit(" articles")))
-        .when((F.coalesce(previous, F.lit(0)) != 0) & (share > deviation), F.concat(F.lit("deviates from "), previous.cast("string")))
+        F.when(new < floor, F.concat(F.lit("only "), new.cast("string"), F.lit(" articles (before: "), old.cast("string"), F.lit(")")))
+        .when((before > 0) & (share > deviation), F.concat(F.lit("story count "), now.cast("string"), F.lit(" deviates from "), before.cast("string")))
         .otherwise("")
     )
     return F.struct((reason == "").alias("ok"), reason.alias("reason"))

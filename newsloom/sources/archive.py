@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.dates import file_stamp, minute_of
 from newsloom.operators.checks import gate
+from newsloom.operators.stories import document_header
 from newsloom.operators.tables import written
 
 DOC = "map<string,map<string,map<string,struct<title:string,link:string,timestamp:string,source:string>>>>"
@@ -87,16 +88,17 @@ def emit(fact: DataFrame, stamp: str, version: str, writer: str, local: str | No
 
 
 def emit_stories(stories: DataFrame, momentum: DataFrame, new_state: DataFrame, path: str, state_path: str, gated: bool = True, **limits) -> tuple[bool, str]:
-    """Stories, momentum and, last, the state, if the gate lets them through."""
+    """Stories, momentum and, last, the state, if the gate lets them through: by distinct articles and by the number of stories."""
     spark = stories.sparkSession
-    new = stories.agg(F.sum("article_count")).first()[0] or 0
+    counts = lambda s: tuple(document_header(s).select("article_count", "story_count").first())
     try:
-        old = spark.read.parquet(f"{path}/stories").agg(F.sum("article_count")).first()[0]
+        old = counts(spark.read.parquet(f"{path}/stories"))
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        old = None
-    ok, reason = spark.createDataFrame([(new, old)], "new long, old long").select(gate(F.col("new"), F.col("old"), **limits).alias("g")).first().g
+        old = (None, None)
+    row = spark.createDataFrame([(*counts(stories), *old)], "a long, s long, pa long, ps long")
+    ok, reason = row.select(gate(*(F.col(c) for c in row.columns), **limits).alias("g")).first().g
     if gated and not ok:
         return False, reason
     stories.write.mode("overwrite").parquet(f"{path}/stories")

@@ -199,10 +199,27 @@ def test_naming(spark):
     assert [clean(t) for t in ('"A name."\nmore', "", "As an AI I would", "x" * 141)] == ["A name", None, None, None]
 
 
-@pytest.mark.parametrize(("new", "old", "ok"), [(50, None, True), (49, None, False), (100, 250, True), (99, 250, False), (160, 100, True), (161, 100, False), (60, 0, True)])
-def test_gate(spark, new, old, ok):
-    df = spark.createDataFrame([(new, old)], "n long, o long")
-    assert df.select(checks.gate(F.col("n"), F.col("o"), 50, 0.6)["ok"].alias("x")).first().x is ok
+@pytest.mark.parametrize(
+    ("articles", "stories", "old", "ok"),
+    [(50, 9, None, True), (49, 9, None, False), (100, 100, 250, True), (100, 99, 250, False), (100, 160, 100, True), (100, 161, 100, False), (60, 5, 0, True), (9000, 10, 10, True), (None, None, 5, False)],
+)
+def test_gate(spark, articles, stories, old, ok):
+    """The floor is on distinct articles, the deviation on the number of stories, whatever the previous run's articles were."""
+    for before in (None, 1, 100_000):
+        df = spark.createDataFrame([(articles, stories, before, old)], "a long, s long, pa long, ps long")
+        assert df.select(checks.gate(*(F.col(c) for c in df.columns), 50, 0.6)["ok"].alias("x")).first().x is ok
+
+
+def test_intermediate_folder_is_shared(spark, monkeypatch):
+    from newsloom.operators import tables
+
+    class Far:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        tables.shared_dir(Far)
+    assert tables.shared_dir(spark).startswith("file:")
 
 
 def test_health(spark):
