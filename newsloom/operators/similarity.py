@@ -28,9 +28,10 @@ def cosine_pairs(weights: DataFrame, threshold: float) -> DataFrame:
     done = F.coalesce(F.sum(F.col("w") * F.col("w")).over(rare_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     # what is left of the vector from here on could still reach the threshold alone
     prefix = weights.withColumn("left", 1 - done).where(F.col("left") >= threshold * threshold - 1e-9)
-    a = prefix.select(F.col("id").alias("a"), "term")
-    b = weights.select(F.col("id").alias("b"), "term")
-    pairs = a.join(b, "term").where("a <> b").select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).distinct()
+    # the first term that two rows share is in the prefix of both
+    i = prefix.select(F.col("id").alias("i"), "term")
+    j = prefix.select(F.col("id").alias("j"), "term")
+    pairs = i.join(j, "term").where("i < j").select("i", "j").distinct()
     left = weights.select(F.col("id").alias("i"), "term", F.col("w").alias("wi"))
     right = weights.select(F.col("id").alias("j"), "term", F.col("w").alias("wj"))
     sim = pairs.join(left, "i").join(right, ["j", "term"]).groupBy("i", "j").agg(F.round(F.sum(F.col("wi") * F.col("wj")), 12).alias("sim"))
