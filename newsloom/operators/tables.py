@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder only where that is unset (tests)."""
+    """spark.checkpoint.dir; where that is unset a local folder, which only a local master's executors share."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="newsloom-")
         shared_dir.own = at
     return at.rstrip("/")
