@@ -340,7 +340,8 @@ def peak_days(spark, d):
     p = written(daily_points(spark, d), "points")
     last = p.groupBy("id").agg(F.max("date").alias("last"))
     s = p.join(last, "id").where(F.datediff("last", "date") < momentum.WINDOW_DAYS)
-    return s.groupBy("id").agg(F.count("*").alias("days_running"), F.min_by("date", F.struct((-F.col("outlets")).alias("o"), "date")).alias("peak_date"))
+    s = s.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("date", "outlets", "articles"))).alias("series"))  # WINDOW_DAYS points at most
+    return s.select("id", F.size("series").cast("long").alias("days_running"), momentum.peak_date(F.col("series")).alias("peak_date"))
 
 
 # ---- monitoring
@@ -419,12 +420,15 @@ def feed_health(spark, d):
 
 
 @query(r"""
-WITH n AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n, lag(count(*)) OVER (ORDER BY CAST(ts AS DATE)) AS p FROM events GROUP BY 1)
-SELECT day, n, n >= 50 AND (coalesce(p, 0) = 0 OR abs(n - p) / p <= 0.6) AS ok FROM n""")
+WITH n AS (SELECT CAST(ts AS DATE) AS day, count(DISTINCT event_id) AS n, count(DISTINCT user_id) AS stories FROM events GROUP BY 1),
+p AS (SELECT *, lag(stories) OVER (ORDER BY day) AS before FROM n)
+SELECT day, n, stories, n >= 50 AND (coalesce(before, 0) = 0 OR abs(stories - before) / before <= 0.6) AS ok FROM p""")
 def publish_gate(spark, d):
-    e = table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    e = e.withColumn("p", F.lag("n").over(Window.orderBy("day")))
-    return e.select("day", "n", checks.gate(F.col("n"), F.col("p"), checks.FLOOR, checks.DEVIATION)["ok"].alias("ok"))
+    """A day is a run, its events the articles, its users the stories; the window is over one row a day."""
+    e = table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.countDistinct("event_id").alias("n"), F.countDistinct("user_id").alias("stories"))
+    order = Window.orderBy("day")
+    e = e.withColumn("n0", F.lag("n").over(order)).withColumn("s0", F.lag("stories").over(order))
+    return e.select("day", "n", "stories", checks.gate(F.col("n"), F.col("stories"), F.col("n0"), F.col("s0"), checks.FLOOR, checks.DEVIATION)["ok"].alias("ok"))
 
 
 # ---- readers' queries
@@ -455,10 +459,14 @@ def facet_counts(spark, d):
     return board.facet_counts(_cards(spark, d))
 
 
-@query(f"WITH {CARDS} SELECT id, row_number() OVER (ORDER BY outlet_count DESC, article_count DESC, id) AS rank FROM s")
+@query(f"""
+WITH {CARDS} SELECT * FROM (SELECT 'rank' AS how, id FROM s ORDER BY outlet_count DESC, article_count DESC, id LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'covered' AS how, id FROM s ORDER BY outlet_count DESC, id LIMIT 10) UNION ALL SELECT * FROM (SELECT 'newest' AS how, id FROM s ORDER BY id LIMIT 10)""")
 def sort_modes(spark, d):
-    w = Window.orderBy(F.col("outlet_count").desc(), F.col("article_count").desc(), F.col("latest_published").desc(), "id")
-    return board.ordered(_cards(spark, d), "rank").select("id", F.row_number().over(w).cast("long").alias("rank"))
+    """The first page (ten) of each order."""
+    c = written(_cards(spark, d), "cards")
+    pages = [board.ordered(c, how).select(F.lit(how).alias("how"), "id").limit(10) for how in ("rank", "covered", "newest")]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
 
 
 @query("WITH o AS (SELECT n_name AS id, c_mktsegment AS outlet, count(*) AS articles FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) SELECT id, outlet, articles, round(articles / sum(articles) OVER (PARTITION BY id), 9) AS share FROM o")
@@ -466,9 +474,49 @@ def outlet_share(spark, d):
     return board.outlet_share(_cards(spark, d)).withColumn("share", F.round("share", 9))
 
 
-@query("WITH m AS (SELECT r_name AS section, max(n_name) AS id FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1) SELECT section, id FROM m")
+@query(f"WITH {CARDS} SELECT id, section, article_count FROM s WHERE section = (SELECT min(r_name) FROM region)")
 def by_section(spark, d):
-    return _cards(spark, d).groupBy("section").agg(F.max("id").alias("id"))
+    """The cards of the section that comes first by name."""
+    first = table(spark, d, "region").agg(F.min("r_name")).first()[0]
+    return board.by_section(_cards(spark, d), first).select("id", "section", "article_count")
+
+
+# ---- the batch run on pages, in two runs of which the second carries the first's identities
+
+
+def _stories(spark, d) -> DataFrame:
+    """The stories of the pages' groups; hosts are feeds without an entry in the dimension."""
+    from newsloom.plans.engine import story_fact
+
+    none = spark.createDataFrame([], "url string, outlet string, domain string, section string")
+    return written(stories.stories(story_fact(written(news_groups(spark, d), "fact")), none), "stories")
+
+
+@query()
+def stories_run(spark, d):
+    return _stories(spark, d).select("id", "headline", "section", "kind", "outlet_count", "article_count", "first_seen", "days_running", "merged_from_groups")
+
+
+@query()
+def stories_header(spark, d):
+    return stories.document_header(_stories(spark, d))
+
+
+@query()
+def momentum_run(spark, d):
+    s = _stories(spark, d)
+    _, state = momentum.advanced(s, spark.createDataFrame([], momentum.STATE), "2024-01-19")
+    s, state = momentum.advanced(s, state, AS_OF)
+    m = momentum.momentum(state, s)
+    return m.select("id", "first_seen", "days_running", "peak_date", "trend")
+
+
+@query()
+def named_run(spark, d):
+    from newsloom.operators import naming
+
+    s, _ = naming.named(_stories(spark, d), spark.createDataFrame([], naming.CACHE), AS_OF)
+    return naming.outcomes(s)
 
 
 # ---- streams
