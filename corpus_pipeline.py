@@ -15,7 +15,7 @@ STAGES = [
     ("source_mix", mixing.stage),
 ]
 
-#: The first stage is a trained model, which SQL can't express; tests hold run() against brute force instead.
+#: The first stage is a trained model, which SQL can't express; tests hold each stage's operator against brute force, and run() against what each stage must drop.
 ORACLE_SQL = None
 
 
