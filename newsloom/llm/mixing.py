@@ -153,7 +153,8 @@ FROM sized s JOIN budget t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN h
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline, last: the rows of docs that the mix takes, with copies (how often) and taken (words).
 
-    The mix is by (source, doc_id), so rows that repeat a doc_id within a source are decided alike.
+    The mix is by (source, doc_id), so rows that repeat a doc_id within a source are decided alike. Columns of docs that are themselves called copies
+    or taken are replaced by these.
     """
     i, s = fresh([*docs.columns, "copies", "taken"], "key_id", "key_source")
     mix = mixed(docs.select("doc_id", "source", "text")).where("copies > 0")
