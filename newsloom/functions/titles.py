@@ -11,6 +11,7 @@ DEAL = r"(?i)(\$\s?\d[\d,]*(\.\d+)?\s*off|\d+\s?%\s*off|\bpre-?order\b|\bdeals?\
 GENERIC = tuple(
     "monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december".split()
 )
+#: (fixed value) a word of a title.
 WORD = r"[A-Za-z0-9$%'’.\-]+"
 
 
