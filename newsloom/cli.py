@@ -1,4 +1,4 @@
-"""python -m newsloom.cli run | update | dashboard | stats | analyze | clear-cache | replay | validate"""
+"""python -m newsloom.cli run | update | dashboard | stats | analyze | clear-cache | replay | validate | mirror"""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.config import debug, settings
+
 
 def session() -> SparkSession:
     return SparkSession.builder.appName("newsloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -14,10 +16,11 @@ def session() -> SparkSession:
 
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="newsloom")
+    p.add_argument("--config", help="INI file; NEWSLOOM_<SECTION>_<KEY> overrides it")
     sub = p.add_subparsers(dest="cmd", required=True)
     r = sub.add_parser("run", help="feeds to stories")
-    r.add_argument("--feeds", required=True, help="file with one feed URL a line")
-    r.add_argument("--out", required=True)
+    r.add_argument("--feeds", help="file with one feed URL a line; default: [feeds] list")
+    r.add_argument("--out", help="default: [storage] local")
     r.add_argument("--sources")
     r.add_argument("--as-of", required=True)
     for name in ("stats", "analyze"):
@@ -40,19 +43,37 @@ def main(args: list[str] | None = None) -> int:
     b.add_argument("--state", required=True)
     v = sub.add_parser("validate", help="violations of a published stories table")
     v.add_argument("--out", required=True)
+    g = sub.add_parser("mirror", help="copies an archive's runs that are missing or of another size")
+    g.add_argument("--archive", required=True)
+    g.add_argument("--target", required=True)
+    g.add_argument("--since", default="2021")
     a = p.parse_args(args)
+    conf = settings(a.config)
+    if a.cmd == "run":
+        a.feeds, a.out, a.sources = a.feeds or conf["feeds"]["list"], a.out or conf["storage"]["local"], a.sources or conf["feeds"]["sources"] or None
+        if not a.feeds or not a.out:
+            p.error("run needs --feeds and --out, or their settings")
     spark = session()
+    if not debug(conf):
+        spark.sparkContext.setLogLevel("ERROR")
     if a.cmd == "run":
         from newsloom.functions.dates import parsed
+        from newsloom.operators import checks
         from newsloom.operators.momentum import STATE
         from newsloom.operators.naming import CACHE
+        from newsloom.operators.tables import written
         from newsloom.plans.engine import run
         from newsloom.sources import archive, feeds
 
-        got = feeds.fetched(feeds.feed_list(spark, a.feeds), feeds.http_fetch)
-        e = feeds.entries_of(got).withColumn("day", F.to_date(parsed(F.col("published")))).withColumn("pos", F.monotonically_increasing_id())
+        got = written(feeds.fetched(feeds.feed_list(spark, a.feeds), feeds.http_fetch, attempts=3), "fetched")
+        read = written(feeds.entries_of(got), "entries")
+        day = F.to_date(parsed(F.col("published")))
+        health = checks.feed_health(got.drop("body"), read.where("not bozo").select(F.col("feed_url").alias("url"), day.alias("day")), F.lit(a.as_of).cast("date"))
+        late = read.where("bozo").join(got.where("error is null").select(F.col("url").alias("feed_url")), "feed_url", "left_semi")
+        checks.emit_health(checks.with_late_errors(health, late.select(F.col("feed_url").alias("url"), "error")), a.as_of, a.out)
+        e = read.withColumn("day", day).withColumn("pos", F.monotonically_increasing_id())
         out = run(e, feeds.sources_dimension(spark, a.sources), archive.state(spark, f"{a.out}/state", STATE), archive.state(spark, f"{a.out}/names", CACHE), a.as_of)
-        archive.emit(out["groups"], a.as_of, "0.2.1", "local", local=a.out)
+        archive.emit(out["groups"], a.as_of, conf["params"]["version"], "local", local=a.out)
         ok, why = archive.emit_stories(out["stories"], out["momentum"], out["state"], a.out, f"{a.out}/state")
         archive.save_state(out["names"], f"{a.out}/names")
         print("published" if ok else f"held back: {why}")
@@ -60,6 +81,9 @@ def main(args: list[str] | None = None) -> int:
     from newsloom.operators import checks, metrics
     from newsloom.sources import archive
 
+    if a.cmd == "mirror":
+        print(f"{archive.mirrored(spark, a.archive, a.target, a.since)} files copied")
+        return 0
     if a.cmd == "update":
         docs = archive.documents(spark, a.archive)
         if not a.all_json:

@@ -49,11 +49,35 @@ def health_counts(health: DataFrame) -> DataFrame:
 
 
 def failing(health: DataFrame) -> DataFrame:
-    """url and why, worst first."""
+    """url and why, by url."""
     why = F.coalesce(F.col("error"), F.when(F.col("http_status") >= 400, F.concat(F.lit("HTTP "), F.col("http_status").cast("string"))), F.lit("no entries"))
     return health.where(~F.col("ok")).select("url", why.alias("reason")).orderBy("url")
 
 
+def with_late_errors(health: DataFrame, late: DataFrame) -> DataFrame:
+    """A second record, with its error, for each feed of late (url, error): what was read and failed behind the reader has both."""
+    second = late.select("url", "error", F.lit(0).cast("long").alias("entry_count"), F.lit(False).alias("ok"))
+    return health.unionByName(second, allowMissingColumns=True)
+
+
+def emit_health(health: DataFrame, stamp: str, path: str | None = None, remote: bool | None = None) -> bool:
+    """Prints the summary and, if remote (default: FEED_HEALTH_REMOTE is true), writes the records as JSON under path.
+
+    Whatever fails is printed and False returned: a run never ends for its feeds' health.
+    """
+    try:
+        n = health_counts(health).first()
+        print(f"feeds: {n.feeds}, ok: {n.ok}, failing: {n.failing}, entries: {n.entries or 0}")
+        for r in failing(health).toLocalIterator():
+            print(f"failing: {r.url}: {r.reason}")
+        if os.environ.get("FEED_HEALTH_REMOTE", "").lower() == "true" if remote is None else remote:
+            health.coalesce(1).write.mode("overwrite").json(f"{path}/feed_health_{stamp.replace(':', '-')}.json")
+    except Exception as e:
+        print(f"feed health wasn't written: {e}")
+        return False
+    return True
+
+
 def status(stamp: Column, now: Column) -> Column:
     """fresh up to seven hours, then stale; unknown without a stamp."""
     return F.when(stamp.isNull(), "unknown").when(F.unix_timestamp(now) - F.unix_timestamp(stamp) > 7 * 3600, "stale").otherwise("fresh")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.functions.terms import terms
+from newsloom.functions.text import clean_term
 from newsloom.operators.tables import written
 
 METRICS = ("articles", "groups", "sub_groups", "sources", "ratio")
@@ -111,6 +113,12 @@ def top_terms(terms: DataFrame, n: int = 5) -> DataFrame:
     return t.select(F.concat(F.lit("["), F.col("term"), F.lit("]")).alias("term"), "freq")
 
 
+def sentence_terms(sentences: DataFrame, extract=terms) -> DataFrame:
+    """sentences (text): (term, freq), cleaned terms with the number of sentences that have them."""
+    t = sentences.select(F.explode(extract(F.col("text"))).alias("raw")).select(clean_term(F.col("raw")).alias("term")).where("term <> ''")
+    return t.groupBy("term").agg(F.count("*").alias("freq"))
+
+
 def group_keywords(tokens: DataFrame, n: int = 5) -> DataFrame:
     """tokens (group, pos, words): each group's n most frequent words, ties to the first met, and a suggested name of them."""
     w = tokens.select("group", "pos", F.posexplode("words").alias("at", "word")).where("word <> ''")

@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.dates import file_stamp, minute_of
+from newsloom.functions.retry import retried
 from newsloom.operators.checks import gate
 from newsloom.operators.stories import document_header
 from newsloom.operators.tables import written
 
 DOC = "map<string,map<string,map<string,struct<title:string,link:string,timestamp:string,source:string>>>>"
+#: Entries as older files write them too: published and title_detail_base for timestamp and source.
+ENTRIES = DOC.replace("source:string", "source:string,published:string,title_detail_base:string")
 NAME = r"^latest_news_\d[^/]*\.json$"
 WRITERS = ("local", "remote", "both")
 
@@ -23,10 +26,19 @@ def listing(spark: SparkSession, path: str, since: str | None = None, compat_all
     return f.where(F.col("stamp") >= since) if since else f
 
 
+def _entry(e: Column) -> Column:
+    either = lambda name, older: F.coalesce(F.nullif(e[name], F.lit("")), e[older]).alias(name)
+    return F.struct(e["title"].alias("title"), e["link"].alias("link"), either("timestamp", "published"), either("source", "title_detail_base"))
+
+
+def _doc(raw: Column) -> Column:
+    return F.transform_values(raw, lambda _t, subs: F.transform_values(subs, lambda _s, es: F.transform_values(es, lambda _e, e: _entry(e))))
+
+
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ts, doc) of every JSON file under path; one that can't be read has doc null."""
+    """(file, ts, doc) of every JSON file under path, with old or new names of an entry's fields; one that can't be read has doc null."""
     raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return raw.select("file", file_stamp(F.substring_index("file", "/", -1)).alias("ts"), F.from_json("value", DOC).alias("doc"))
+    return raw.select("file", file_stamp(F.substring_index("file", "/", -1)).alias("ts"), _doc(F.from_json("value", ENTRIES)).alias("doc"))
 
 
 def fact_of(docs: DataFrame) -> DataFrame:
@@ -87,6 +99,16 @@ def emit(fact: DataFrame, stamp: str, version: str, writer: str, local: str | No
         metadata(fact.sparkSession, stamp, version, ref["local"], ref["remote"]).coalesce(1).write.mode("overwrite").json(f"{p}/latest_news_metadata.json")
 
 
+def log_visualization(fact: DataFrame, stamp: str, version: str, local: str, remote: str | None = None, s3: bool = False) -> None:
+    """emit() under its earlier name: local, or with s3 both."""
+    emit(fact, stamp, version, "both" if s3 else "local", local, remote)
+
+
+def log_s3(fact: DataFrame, stamp: str, version: str, remote: str) -> None:
+    """emit() to the remote place alone, under its earlier name."""
+    emit(fact, stamp, version, "remote", remote=remote)
+
+
 def emit_stories(stories: DataFrame, momentum: DataFrame, new_state: DataFrame, path: str, state_path: str, gated: bool = True, **limits) -> tuple[bool, str]:
     """Stories, momentum and, last, the state, if the gate lets them through: by distinct articles and by the number of stories."""
     spark = stories.sparkSession
@@ -129,6 +151,33 @@ def to_mirror(there: DataFrame, here: DataFrame) -> DataFrame:
     return there.join(here.select("name", "size"), ["name", "size"], "left_anti")
 
 
+def mirrored(spark: SparkSession, path: str, target: str, since: str = "2021", threads: int = 16, attempts: int = 3) -> int:
+    """Copies the runs of an archive from `since` on to target/<year>/, but those that are there in the same size; their number.
+
+    The driver gets a name a run and streams the files, `threads` at a time; a copy that fails `attempts` times fails the call.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    try:
+        here = listing(spark, target)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        here = spark.createDataFrame([], "name string, size bigint")
+    todo = to_mirror(listing(spark, path, since), here).select("file", "name", F.substring("stamp", 1, 4).alias("year")).collect()
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+
+    def copy(row) -> None:
+        src, dst = hadoop.Path(row.file), hadoop.Path(f"{target}/{row.year}/{row.name}")
+        to = dst.getFileSystem(conf)
+        to.mkdirs(dst.getParent())
+        if not hadoop.FileUtil.copy(src.getFileSystem(conf), src, to, dst, False, True, conf):
+            raise OSError(f"{row.file} wasn't copied")
+
+    with ThreadPoolExecutor(threads) as pool:
+        return len(list(pool.map(retried(copy, attempts), todo)))
+
+
 def with_minutes(files: DataFrame) -> DataFrame:
     """A listing with each file's minute and date, for metrics.archive_window()."""
     m = minute_of(F.col("name"))

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.functions.retry import retried
 from newsloom.operators.ingest import feed_title
 
 ENTRY = "feed_url string, feed_title string, pos bigint, title string, link string, published string, title_detail_base string, bozo boolean, error string"
@@ -91,8 +92,9 @@ def entries_of(feeds: DataFrame, body: str = "body") -> DataFrame:
     return e.withColumn("feed_title", feed_title(F.col("feed_title"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("feed_url")))
 
 
-def fetched(feeds: DataFrame, fetch: Callable[[str], tuple[int | None, str, int]]) -> DataFrame:
-    """feeds (url) through fetch(url) -> (status, body, milliseconds): url, http_status, body, latency_ms, error. A failing feed is a row too."""
+def fetched(feeds: DataFrame, fetch: Callable[[str], tuple[int | None, str, int]], attempts: int = 1) -> DataFrame:
+    """feeds (url) through fetch(url) -> (status, body, milliseconds): url, http_status, body, latency_ms, error. A feed that fails in all attempts is a row too."""
+    fetch = retried(fetch, attempts)
     ddl = "url string, http_status int, body string, latency_ms int, error string"
     schema = _arrow(ddl)
 

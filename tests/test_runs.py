@@ -95,9 +95,9 @@ def test_stream_counts(spark, tmp_path):
 
 
 def test_catalog_is_complete():
-    from newsloom.plans.catalog import ORACLE, QUERIES
+    from newsloom.plans.reports import ORACLE, QUERIES
 
-    assert set(ORACLE) <= set(QUERIES) and len(QUERIES) >= 38
+    assert set(ORACLE) <= set(QUERIES) and len(QUERIES) >= 60
 
 
 def test_archive_names_and_mirror(spark):
