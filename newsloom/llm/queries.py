@@ -5,6 +5,7 @@ from __future__ import annotations
 from newsloom.llm.chat_format import OP2_SQL, op2_chat_format
 from newsloom.llm.decontam import OP3_SQL, op3_decontamination
 from newsloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from newsloom.llm.filter_audit import OP11_SQL, op11_filter_audit
 from newsloom.llm.html_extract import op5_html_text
 from newsloom.llm.license_scan import op10_license_scan
 from newsloom.llm.mixing import OP1_SQL, op1_source_mix
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_quality_crf": op8_quality_crf,
     "op9_token_counts": op9_token_counts,
     "op10_license_scan": op10_license_scan,
+    "op11_filter_audit": op11_filter_audit,
 }
 ORACLE = {
     "op1_source_mix": OP1_SQL,
     "op2_chat_format": OP2_SQL,
     "op3_decontamination": OP3_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op11_filter_audit": OP11_SQL,
 }
