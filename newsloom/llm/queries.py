@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from newsloom.llm.centroids import OP13_SQL, op13_centroids
 from newsloom.llm.chat_format import OP2_SQL, op2_chat_format
 from newsloom.llm.decontam import OP3_SQL, op3_decontamination
 from newsloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_license_scan": op10_license_scan,
     "op11_filter_audit": op11_filter_audit,
+    "op13_centroids": op13_centroids,
 }
 ORACLE = {
     "op1_source_mix": OP1_SQL,
@@ -33,4 +35,5 @@ ORACLE = {
     "op3_decontamination": OP3_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op11_filter_audit": OP11_SQL,
+    "op13_centroids": OP13_SQL,
 }
