@@ -28,15 +28,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder or file through the session's file systems; one that isn't there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_written(df: DataFrame) -> None:
     """Deletes the table behind a frame that written() returned, once nothing reads it any more."""
-    spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        delete(df.sparkSession, folder)
 
 
 def clear(spark: SparkSession) -> None:
     """Deletes every written table of this folder; call it when no frame built on one is in use any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/newsloom")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, f"{shared_dir(spark)}/newsloom")
