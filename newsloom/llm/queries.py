@@ -14,6 +14,7 @@ from newsloom.llm.near_dedup import op7_near_dedup
 from newsloom.llm.quality_crf import op8_quality_crf
 from newsloom.llm.substring_dedup import op4_substring_dedup
 from newsloom.llm.token_counts import op9_token_counts
+from newsloom.llm.token_files import op12_token_files
 
 QUERIES = {
     "op1_source_mix": op1_source_mix,
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_license_scan": op10_license_scan,
     "op11_filter_audit": op11_filter_audit,
+    "op12_token_files": op12_token_files,
     "op13_centroids": op13_centroids,
 }
 ORACLE = {
