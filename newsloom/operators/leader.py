@@ -1,34 +1,90 @@
-"""Greedy leader clustering in input order, and greedy one-to-one matching, in rounds over edge tables.
+"""Greedy leader clustering in input order, and greedy one-to-one matching, in bounded rounds over edge tables.
 
-Leader: j joins the first leader i < j that it has an edge to; who joins never leads. A node is decided once its smaller
-neighbours are, so a round decides all nodes without undecided smaller neighbours and the members they take. Rounds are
-about logarithmic for random orders (Blelloch, Fineman and Shun 2012); each is a written table, and the loop's
-only actions are counts.
+Leader: j joins the first leader i < j that it has an edge to; who joins never leads. Matching: the best edge first, then the best
+one that touches neither of its ends, and so on. Both are sequential by nature; three kinds of steps decide the same:
+
+* all at once: nodes without undecided smaller neighbours lead and take their neighbours; edges that are the best of both ends match. Few such
+  rounds are enough for random orders (Blelloch, Fineman and Shun 2012), but a chain in order needs one a link;
+* by rank: what comes first in the order, as many edges as one task holds, is decided in that task by the loop itself,
+  then everything that follows from it is filtered, whatever lies behind;
+* to the end: once no more edges are left than one task holds, the loop decides them all.
+
+The first two alternate, so a round decides `local` edges at least and mostly a large part of all; every round is a written table, and
+the driver only takes counts and one boundary.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.operators.graph import LOCAL_EDGES, in_one_task, ranks
 from newsloom.operators.tables import drop_written, written
 
 
-def leaders(nodes: DataFrame, edges: DataFrame, keep_single: bool) -> DataFrame:
-    """nodes (id), edges (i, j) with i < j: (id, leader). keep_single: a leader without members is a group of its own."""
+def _members_of(t: pa.Table) -> pa.Table:
+    """Edges (i, j) to (id, joins): whether each node joins a leader. In the order of j, all about i is known when j's turn comes."""
+    i, j, nodes = ranks(t["i"], t["j"])
+    order = j.argsort(kind="stable")
+    joins = bytearray(len(nodes))
+    for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        if not joins[a]:
+            joins[b] = 1
+    return pa.table({"id": nodes, "joins": pa.array(joins, pa.uint8()).cast(pa.bool_())})
+
+
+def _decided_first(alive: DataFrame) -> DataFrame:
+    """Nodes without undecided smaller neighbours lead; their neighbours join: (id, joins)."""
+    heads = alive.select("i").distinct().join(alive.select(F.col("j").alias("i")).distinct(), "i", "left_anti")
+    heads = written(heads, "heads")
+    joined = alive.join(heads, "i", "left_semi").select(F.col("j").alias("id")).distinct()
+    return heads.select(F.col("i").alias("id"), F.lit(False).alias("joins")).unionByName(joined.withColumn("joins", F.lit(True)))
+
+
+def _decided_by_rank(alive: DataFrame, edges: int, local: int) -> DataFrame:
+    """The nodes up to the boundary below which about `local` edges lie are decided by the loop; who has an edge to a leader among them joins: (id, joins).
+
+    Where one node alone has more edges, nothing is decided: such a node's smaller neighbours lead in the next round of the other kind.
+    """
+    share = local / 2 / edges
+    while True:
+        cut = alive.select(F.percentile_approx("j", F.lit(share), F.lit(1000)).alias("c")).first().c
+        below = written(alive.where(F.col("j") < F.lit(cut)), "below")
+        n = below.count()
+        if n <= local:
+            break
+        share *= local / 2 / n
+    kind = alive.schema["j"].dataType.simpleString()
+    inner = written(in_one_task(below, _members_of, f"id {kind}, joins boolean"), "decided")
+    across = alive.join(inner.where("not joins").select(F.col("id").alias("i")), "i", "left_semi").where(F.col("j") >= F.lit(cut))
+    return inner.unionByName(across.select(F.col("j").alias("id"), F.lit(True).alias("joins")).distinct())
+
+
+def leaders(nodes: DataFrame, edges: DataFrame, keep_single: bool, local: int = LOCAL_EDGES) -> DataFrame:
+    """nodes (id), edges (i, j) with i < j: (id, leader). keep_single: a leader without members is a group of its own.
+
+    Ids are numbers or, where there are no more than `local` edges, strings.
+    """
     edges = edges.select("i", "j").distinct()
-    alive = written(edges, "edges")
-    members = None
-    while not alive.isEmpty():
-        blocked = alive.select(F.col("j").alias("i")).distinct()
-        first = alive.select("i").distinct().join(blocked, "i", "left_anti")
-        new = written(alive.join(first, "i", "left_semi").select(F.col("j").alias("id")).distinct(), "members")
-        out = new.select(F.col("id").alias("x"))
-        rest = alive.join(first, "i", "left_anti").join(out, F.col("i") == F.col("x"), "left_anti").join(out, F.col("j") == F.col("x"), "left_anti")
-        rest = written(rest, "edges")
+    kind = edges.schema["j"].dataType.simpleString()
+    alive, members, by_rank = written(edges, "edges"), None, False
+    while n := alive.count():
+        if n <= local:
+            new = in_one_task(alive, _members_of, f"id {kind}, joins boolean")
+        else:
+            new = _decided_by_rank(alive, n, local) if by_rank else _decided_first(alive)
+        new = written(new, "members")
+        joined = new.where("joins").select("id")
+        members = joined if members is None else members.unionByName(joined)
+        if n <= local:
+            break
+        by_rank = not by_rank
+        # nodes that lead have no say any more once all who have an edge to them have joined
+        done = new.select(F.col("id").alias("x"))
+        rest = written(alive.join(done, F.col("i") == F.col("x"), "left_anti").join(done, F.col("j") == F.col("x"), "left_anti"), "edges")
         drop_written(alive)
         alive = rest
-        members = new if members is None else members.unionByName(new)
     if members is None:
         members = nodes.select("id").limit(0)
     joined = edges.join(members.select(F.col("id").alias("i")), "i", "left_anti").join(members.select(F.col("id").alias("j")), "j", "left_semi")
@@ -39,15 +95,43 @@ def leaders(nodes: DataFrame, edges: DataFrame, keep_single: bool) -> DataFrame:
     return joined.unionByName(heads.select("id", F.col("id").alias("leader")))
 
 
-def matching(edges: DataFrame) -> DataFrame:
-    """edges (i, j, score): one-to-one, best score first; ties go to the larger i, then the larger j."""
-    order = [F.col("score").desc(), F.col("i").desc(), F.col("j").desc()]
-    alive, found = written(edges.select("i", "j", "score"), "edges"), None
-    while not alive.isEmpty():
-        top = alive.withColumn("a", F.row_number().over(Window.partitionBy("i").orderBy(*order))).withColumn("b", F.row_number().over(Window.partitionBy("j").orderBy(*order)))
-        new = written(top.where("a = 1 and b = 1").select("i", "j", "score"), "matched")
-        rest = written(alive.join(new.select("i"), "i", "left_anti").join(new.select("j"), "j", "left_anti"), "edges")
+ORDER = [("score", "descending"), ("i", "descending"), ("j", "descending")]
+
+
+def _matched_of(t: pa.Table) -> pa.Table:
+    t = t.sort_by(ORDER)
+    left, right, take = set(), set(), []
+    for k, (i, j) in enumerate(zip(t["i"].to_pylist(), t["j"].to_pylist(), strict=True)):
+        if i not in left and j not in right:
+            left.add(i)
+            right.add(j)
+            take.append(k)
+    return t.take(take)
+
+
+def matching(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
+    """edges (i, j, score): one-to-one, best score first; ties go to the larger i, then the larger j. Scores are numbers, never null or NaN."""
+    alive, found, by_rank = written(edges.select("i", "j", "score"), "edges"), None, False
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in alive.schema)
+    at = F.struct("score", "i", "j")
+    while n := alive.count():
+        rest = alive
+        if n <= local:
+            new = in_one_task(alive, _matched_of, schema)
+        elif by_rank:
+            head = written(alive.orderBy(at.desc()).limit(local), "head")
+            low = head.agg(F.min(at).alias("m")).first().m
+            new = in_one_task(head, _matched_of, schema)
+            rest = alive.where(at < F.struct(*[F.lit(low[c]).cast(alive.schema[c].dataType).alias(c) for c in ("score", "i", "j")]))
+        else:
+            best = lambda side: alive.groupBy(side).agg(F.max(at).alias(f"best_{side}"))
+            new = alive.join(best("i"), "i").join(best("j"), "j").where((at == F.col("best_i")) & (at == F.col("best_j"))).select("i", "j", "score").distinct()
+        new = written(new, "matched")
+        found = new if found is None else found.unionByName(new)
+        if n <= local:
+            break
+        by_rank = not by_rank
+        rest = written(rest.join(new.select("i"), "i", "left_anti").join(new.select("j"), "j", "left_anti").select("i", "j", "score"), "edges")
         drop_written(alive)
         alive = rest
-        found = new if found is None else found.unionByName(new)
     return edges.select("i", "j", "score").limit(0) if found is None else found

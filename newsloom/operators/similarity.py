@@ -7,7 +7,7 @@ Candidates are then measured on all their elements: results are those of compari
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,7 +38,7 @@ def cosine_pairs(weights: DataFrame, threshold: float) -> DataFrame:
     return sim.where(F.col("sim") >= threshold)
 
 
-def _sets(members: DataFrame) -> DataFrame:
+def ranked_items(members: DataFrame) -> DataFrame:
     """members (id, item): distinct, with the item's frequency, its place among the id's items (rarest first) and the id's size."""
     m = members.where("item is not null").select("id", "item").distinct()
     m = m.join(m.groupBy("item").agg(F.count("*").alias("freq")), "item")
@@ -46,7 +46,12 @@ def _sets(members: DataFrame) -> DataFrame:
     return m.withColumn("place", F.row_number().over(own.orderBy("freq", "item"))).withColumn("n", F.count("*").over(own))
 
 
-def _common(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+def prefix_places(size: str, threshold: float) -> Column:
+    """Rarest items of a set of that size among which any other set with the threshold's part of it has one."""
+    return F.col(size) - F.ceil(F.col(size) * threshold) + 1
+
+
+def common_items(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """pairs (i, j) with ni, nj and common."""
     a = left.select(F.col("id").alias("i"), "item", F.col("n").alias("ni"))
     b = right.select(F.col("id").alias("j"), "item", F.col("n").alias("nj"))
@@ -55,12 +60,12 @@ def _common(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
 
 def containment_pairs(members: DataFrame, threshold: float = 0.5) -> DataFrame:
     """members (id, item): (i, j, common, containment) with i < j and common / smaller size >= threshold > 0."""
-    s = _sets(members)
-    prefix = s.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
+    s = ranked_items(members)
+    prefix = s.where(F.col("place") <= prefix_places("n", threshold))
     a = prefix.select(F.col("id").alias("a"), "item", F.col("n").alias("na"))
     b = s.select(F.col("id").alias("b"), "item", F.col("n").alias("nb"))
     pairs = a.join(b, "item").where("a <> b and na <= nb").select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).distinct()
-    out = _common(pairs, s, s).withColumn("containment", F.col("common") / F.least("ni", "nj"))
+    out = common_items(pairs, s, s).withColumn("containment", F.col("common") / F.least("ni", "nj"))
     return out.where(F.col("containment") >= threshold).select("i", "j", "common", "containment")
 
 
@@ -70,10 +75,10 @@ def jaccard_pairs(current: DataFrame, previous: DataFrame, threshold: float = 0.
     left = current.select(F.struct(F.lit(0).alias("side"), F.col("id").alias("i"), F.lit(None).cast(tj).alias("j")).alias("id"), "item")
     right = previous.select(F.struct(F.lit(1).alias("side"), F.lit(None).cast(ti).alias("i"), F.col("id").alias("j")).alias("id"), "item")
     both = left.unionByName(right)
-    s = _sets(both)
-    prefix = s.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
+    s = ranked_items(both)
+    prefix = s.where(F.col("place") <= prefix_places("n", threshold))
     a = prefix.where("id.side = 0").select(F.col("id").alias("i"), "item", F.col("n").alias("na"))
     b = prefix.where("id.side = 1").select(F.col("id").alias("j"), "item", F.col("n").alias("nb"))
     pairs = a.join(b, "item").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("i", "j").distinct()
-    out = _common(pairs, s, s).withColumn("score", F.col("common") / (F.col("ni") + F.col("nj") - F.col("common")))
+    out = common_items(pairs, s, s).withColumn("score", F.col("common") / (F.col("ni") + F.col("nj") - F.col("common")))
     return out.where(F.col("score") >= threshold).select(F.col("i.i").alias("i"), F.col("j.j").alias("j"), "common", "score")

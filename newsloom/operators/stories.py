@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import dates, links
 from newsloom.functions.titles import bare, capital_runs, is_deal, keywords, proper_nouns, words
-from newsloom.operators.graph import components
+from newsloom.operators.connect import containment_components
 from newsloom.operators.ingest import resolved
-from newsloom.operators.similarity import containment_pairs
 from newsloom.operators.tables import written
 
 MERGE, MAX_KEYWORDS, MAX_ENTITIES, MIN_RUN = 0.5, 8, 10, 3
@@ -25,11 +24,9 @@ def flattened(fact: DataFrame) -> DataFrame:
 
 def merged(members: DataFrame, threshold: float = MERGE) -> DataFrame:
     """members (group, key): (group, story), story the smallest group reachable through containment >= threshold."""
-    m = members.select(F.col("group").alias("id"), F.col("key").alias("item"))
-    pairs = containment_pairs(m, threshold).select(F.col("i").alias("a"), F.col("j").alias("b"))
-    root = components(pairs, "stories")
+    root = containment_components(members.select(F.col("group").alias("id"), F.col("key").alias("item")), threshold)
     g = members.select("group").distinct()
-    return g.join(root, F.col("group") == F.col("node"), "left").select("group", F.coalesce("root", "group").alias("story"))
+    return g.join(root, F.col("group") == F.col("id"), "left").select("group", F.coalesce("root", "group").alias("story"))
 
 
 def modal(df: DataFrame, keys: list[str], value: str, pos: str) -> DataFrame:
