@@ -13,9 +13,9 @@ executor or a second attempt leaves nothing that a reader sees.
 
 Scale: texts are tokenized once, in tasks; only their ids are shuffled, to shards whose bounds come from a range partitioning of
 (doc_id, hash) alone; ids pass through unranked files of the same layout (two bytes an id, compressed) while they are counted. The driver holds a
-count an id of the vocabulary and a line a shard. A task holds one group. Words of texts are encoded by the tokenizer's library,
-each distinct one once in a pass of some MB, and kept in the worker, word for word (at most KEPT, then afresh: nothing depends on it but time).
-For this the tokenizer must treat what stands between ASCII white space apart; `splits_at_space` checks that and other tokenizers take whole texts.
+count an id of the vocabulary and a line a shard. A task holds one group. Texts are cut where the tokenizer cuts them anyway (`pieces`); the pieces are
+encoded by the tokenizer's library, each distinct one once in a pass of some MB, and kept in the worker, byte for byte (at most KEPT, then afresh:
+nothing depends on it but time). `cuts_words` checks that the tokenizer's steps allow that; others take whole texts.
 
 Defined results: text null counts as empty and has the end id alone; doc_id null sorts first; rows of equal doc_id go by a hash of the text, then by
 their ids, and rows that repeat both are told apart by their place; bytes that aren't UTF-8 count as U+FFFD; an empty table gives a folder without shards and no rows; further columns are ignored.
@@ -32,6 +32,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, count, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,16 +51,16 @@ END = 2
 GROUP = 1 << 20
 #: Bytes of text for a shard.
 SHARD = 256 << 20
-#: Bytes of text that a worker tokenizes at a time, and distinct words that it keeps.
-PASS, KEPT = 8 << 20, 500_000
+#: Bytes of text that a worker tokenizes at a time, distinct pieces that it keeps (some 200 bytes each), and pieces that the library gets at a time.
+PASS, KEPT, ASKED = 4 << 20, 600_000, 4096
 MAGIC = b"NLTOKEN1"
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 
 # for each control byte: the bytes of each of its four numbers, of all, and which data byte each output byte is (NONE: it is zero)
 LENGTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3) + 1
 TOTAL = LENGTHS.sum(1)
-HAS = (np.arange(4)[None, None, :] < LENGTHS[:, :, None]).reshape(256, 16)
-PLACE = np.where(HAS, ((LENGTHS.cumsum(1) - LENGTHS)[:, :, None] + np.arange(4)).reshape(256, 16), 0)
+HAS = (np.arange(4)[None, None, :] < LENGTHS[:, :, None]).reshape(256, 16).astype(np.uint8)
+PLACE = np.where(HAS == 1, ((LENGTHS.cumsum(1) - LENGTHS)[:, :, None] + np.arange(4)).reshape(256, 16), 0)
 
 
 def packed(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,8 +75,9 @@ def packed(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def unpacked(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     """The first n numbers, by table lookup."""
     at = TOTAL[control].cumsum() - TOTAL[control]
-    out = data[at[:, None] + PLACE[control]] if len(control) else np.zeros((0, 16), np.uint8)
-    return (out * HAS[control]).astype(np.uint8).view("<u4").ravel()[:n]
+    out = data.take(at[:, None] + PLACE[control]) if len(control) else np.zeros((0, 16), np.uint8)
+    out *= HAS[control]
+    return out.view("<u4").ravel()[:n]
 
 
 def _store(uri: str) -> tuple[fs.FileSystem, str]:
@@ -250,54 +252,113 @@ def _library(path: str):
     return t
 
 
-def splits_at_space(path: str) -> bool:
-    """Whether the tokenizer drops white space and never looks across it: then a text's ids are those of its words, one after the other."""
+def cuts_words(path: str) -> bool:
+    """Whether the tokenizer drops white space, lower-cases, and takes runs of letters, single digits, runs of other characters and contractions apart.
+
+    Then a text's ids are those of its pieces, one after the other.
+    """
     with open(path, encoding="utf-8") as f:
         d = json.load(f)
     steps = (d.get("pre_tokenizer") or {}).get("pretokenizers", [])
     first = steps[0] if steps else {}
-    apart = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and r"[^\s\p{L}\p{N}]+" in first.get("pattern", {}).get("Regex", "")
-    norm = {n.get("type") for n in (d.get("normalizer") or {}).get("normalizers", [])}
-    plain = all(not t["lstrip"] and not t["rstrip"] and not any(c.isspace() for c in t["content"]) for t in d.get("added_tokens", []))
+    apart = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and first.get("pattern", {}).get("Regex") == PATTERN
+    norm = [n.get("type") for n in (d.get("normalizer") or {}).get("normalizers", [])]
+    plain = all(not t["lstrip"] and not t["rstrip"] and t["content"].startswith("<|") and not any(c.isspace() for c in t["content"]) for t in d.get("added_tokens", []))
     level = len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space")
-    return apart and level and plain and norm <= {"NFC", "Replace", "Lowercase"}
-
-
-class Words:
-    """Ids of words, as the library gives them."""
+    return apart and level and plain and "Lowercase" in norm and set(norm) <= {"NFC", "Replace", "Lowercase"}
+
+
+#: (fixed value) the splitting pattern for which pieces() cuts.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BYTES = np.arange(256)
+ASCII_LETTER = (BYTES >= 65) & (BYTES <= 90) | (BYTES >= 97) & (BYTES <= 122)
+ASCII_OTHER = (BYTES > 32) & (BYTES < 127) & ~ASCII_LETTER
+SPACE = textops.separators("space")
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts (bytes, offsets) cut at ASCII white space, between a letter (ASCII, or U+00C0 to U+017F but for U+0130, whose lower case ends in a mark) and another ASCII character behind it,
+    and between such a character other than the apostrophe and an ASCII letter behind it: bytes of all pieces with A-Z in lower case, lengths, pieces of each text.
+
+    What holds a special token's beginning is cut at white space alone and keeps its case.
+    """
+    n = len(data)
+    word = np.concatenate([~SPACE[data], [False]])
+    letter, other = ASCII_LETTER[data], ASCII_OTHER[data]
+    last = letter.copy()
+    if n > 1:
+        lead, tail = data[:-1], data[1:]
+        last[1:] |= (lead >= 0xC3) & (lead <= 0xC5) & (tail >= 0x80) & ~((lead == 0xC3) & ((tail == 0x97) | (tail == 0xB7)) | (lead == 0xC4) & (tail == 0xB0))
+    begin = word.copy()
+    begin[1:] &= ~word[:-1]
+    begin[1:n] |= last[:-1] & other[1:] | other[:-1] & (data[:-1] != 0x27) & letter[1:]
+    begin[offsets[:-1]] = word[offsets[:-1]]
+    text = FOLDED[data]
+    special = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))
+    for at in special.tolist():  # few texts have any
+        i = int(np.searchsorted(offsets, at, "right")) - 1
+        a, b = int(offsets[i]), int(offsets[i + 1])
+        gap = np.flatnonzero(~word[a:at])
+        a = a + int(gap[-1]) + 1 if len(gap) else a
+        gap = np.flatnonzero(~word[at:b])
+        b = at + int(gap[0]) if len(gap) else b
+        begin[a + 1 : b] = False
+        text[a:b] = data[a:b]
+    starts = np.flatnonzero(begin)
+    ends = np.flatnonzero(word[:-1] & (begin | ~word)[1:]) + 1
+    return text[word[:-1]], ends - starts, np.diff(np.searchsorted(starts, offsets))
+
+
+FOLDED = BYTES.astype(np.uint8)
+FOLDED[65:91] += 32
+
+
+class Pieces:
+    """Ids of pieces, as the library gives them."""
 
     def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
         self.library = _library(path)
+        self.model = Tokenizer(self.library.model)  # without the steps before it, which leave a run of a-z as it is
         self.start_afresh()
 
     def start_afresh(self) -> None:
         self.place, self.flat, self.ends = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def places(self, words: list[bytes]) -> np.ndarray:
-        """Where each word's ids are; self.ends has where they end, at the place plus one."""
-        if len(self.place) + len(words) > KEPT:
+    def places(self, found: pa.BinaryArray) -> np.ndarray:
+        """Where each piece's ids are; self.ends has where they end, at the place plus one. found: distinct pieces, as bytes."""
+        if len(self.place) + len(found) > KEPT:
             self.start_afresh()
-        at = np.fromiter((self.place.get(w, -1) for w in words), np.int64, len(words))
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            known = len(self.place)
-            got = [e.ids for e in self.library.encode_batch_fast([words[i].decode("utf-8", "replace") for i in new.tolist()], add_special_tokens=False)]
-            self.flat = np.concatenate([self.flat, np.fromiter((x for ids in got for x in ids), np.uint32)])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(ids) for ids in got])])
-            self.place.update((words[i], known + k) for k, i in enumerate(new.tolist()))
-            at[new] = known + np.arange(len(new))
+        _, offsets, data = found.buffers()
+        cut, raw = np.frombuffer(offsets, np.int32)[: len(found) + 1].tolist(), bytes(data)
+        listed = [raw[a:b] for a, b in pairwise(cut)]
+        at = np.array(list(map(self.place.get, listed, repeat(-1))), np.int64)
+        new = [listed[i] for i in np.flatnonzero(at < 0).tolist()]
+        plain = [x for x in new if x.isalpha() and x.islower()]  # of bytes: a-z alone
+        rest = [x for x in new if not (x.isalpha() and x.islower())]
+        flat, many = [self.flat], []
+        for library, some in ((self.model, plain), (self.library, rest)):
+            for k in range(0, len(some), ASKED):
+                ids = [e.ids for e in library.encode_batch_fast([x.decode("utf-8", "replace") for x in some[k : k + ASKED]], add_special_tokens=False)]
+                many += map(len, ids)
+                flat.append(np.array(list(chain.from_iterable(ids)), np.uint32))
+        if new:
+            self.flat, self.ends = np.concatenate(flat), np.concatenate([self.ends, self.ends[-1] + np.cumsum(many)])
+            self.place.update(zip(plain + rest, count(len(self.place))))
+            at = np.array([self.place[x] for x in listed], np.int64)
         return at
 
 
-def encoded(words: Words, data: np.ndarray, offsets: np.ndarray, end: int = END) -> tuple[np.ndarray, np.ndarray]:
+def encoded(known: Pieces, data: np.ndarray, offsets: np.ndarray, end: int = END) -> tuple[np.ndarray, np.ndarray]:
     """All ids of some texts (bytes, offsets), each text's followed by the end id, and how many each has."""
-    sep = textops.separators("space")
-    starts, ends, counts = textops.words(data, offsets, sep)
-    ranges = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
-    each = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ranges), pa.py_buffer(np.ascontiguousarray(data[~sep[data]]))]).dictionary_encode()
-    at = words.places(each.dictionary.to_pylist())
-    word = at[np.asarray(each.indices)] if len(starts) else np.zeros(0, np.int64)
-    return _joined(words.flat, words.ends[word], words.ends[word + 1] - words.ends[word], counts, end)
+    text, lens, counts = pieces(data, offsets)
+    ranges = np.concatenate([[0], lens.cumsum()]).astype(np.int32)
+    each = pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(ranges), pa.py_buffer(text)]).dictionary_encode()
+    at = known.places(each.dictionary)
+    first, many = known.ends[at], known.ends[at + 1] - known.ends[at]
+    which = np.asarray(each.indices) if len(lens) else np.zeros(0, np.int64)
+    return _joined(known.flat, first[which], many[which], counts, end)
 
 
 def _joined(flat: np.ndarray, first: np.ndarray, many: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -314,18 +375,20 @@ def _whole(library, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np
     raw = data.tobytes()
     ids = [e.ids for e in library.encode_batch_fast([raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], add_special_tokens=False)]
     many = np.array([len(i) for i in ids], np.int64)
-    return _joined(np.fromiter((x for i in ids for x in i), np.uint32), many.cumsum() - many, many, np.ones(len(ids), np.int64), end)
+    return _joined(np.array(list(chain.from_iterable(ids)), np.uint32), many.cumsum() - many, many, np.ones(len(ids), np.int64), end)
 
 
-_kept: dict[str, Words] = {}
+_kept: dict[str, Pieces] = {}
 
 
-def _tokenize(path: str, by_word: bool, bounds: list[tuple], width: int, end: int):
+def _tokenize(path: str, cut: bool, bounds: list[tuple], width: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _kept.setdefault(path, Words(path)) if path not in _kept else _kept[path]
+        if path not in _kept:
+            _kept[path] = Pieces(path)
+        known = _kept[path]
         for batch in batches:
             for at, data, off in textops.passes(batch.column(2), PASS):
-                ids, per = encoded(words, data, off, end) if by_word else _whole(words.library, data, off, end)
+                ids, per = encoded(known, data, off, end) if cut else _whole(known.library, data, off, end)
                 keys = batch.slice(at, len(per))
                 shard = [bisect.bisect_left(bounds, (d is not None, d or 0, h)) for d, h in zip(keys.column(0).to_pylist(), keys.column(1).to_pylist(), strict=True)]
                 ends = (np.concatenate([[0], per.cumsum()]) * width).astype(np.int32)
@@ -369,7 +432,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end: int
     bounds = sorted((r.top.doc_id is not None, r.top.doc_id or 0, r.top.h) for r in tops)[:-1]
     drop_written(keys)
 
-    rows = docs.mapInArrow(_tokenize(path, splits_at_space(path), bounds, width, end), "shard int, doc_id long, h long, ids binary")
+    rows = docs.mapInArrow(_tokenize(path, cuts_words(path), bounds, width, end), "shard int, doc_id long, h long, ids binary")
     rows = rows.repartitionById(max(1, len(bounds) + 1), "shard").sortWithinPartitions("doc_id", "h", "ids").select("doc_id", "ids")
     plain = f"{shared_dir(spark)}/newsloom/tokens-{uuid.uuid4().hex}"
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
