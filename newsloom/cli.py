@@ -79,7 +79,7 @@ def main(args: list[str] | None = None) -> int:
         print("published" if ok else f"held back: {why}")
         return 0 if ok else 1
     from newsloom.operators import checks, metrics
-    from newsloom.sources import archive
+    from newsloom.sources import archive, versions
 
     if a.cmd == "mirror":
         print(f"{archive.mirrored(spark, a.archive, a.target, a.since)} files copied")
@@ -89,28 +89,28 @@ def main(args: list[str] | None = None) -> int:
         if not a.all_json:
             docs = docs.where(F.substring_index("file", "/", -1).rlike(archive.NAME))
         m = metrics.file_metrics(docs.withColumn("doc", F.coalesce("doc", F.create_map().cast(archive.DOC))))
-        m = m.select(F.substring("ts", 1, 10).alias("date"), "ts", F.col("total_articles").alias("articles"), F.col("top_level_groups").alias("groups"), "sub_groups", F.col("unique_sources").alias("sources"), F.col("subgroups_per_top_group").alias("ratio"))
+        m = metrics.run_row(m)
         old = archive.state(spark, a.metrics, ", ".join(f"{n} {t}" for n, t in m.dtypes))
-        metrics.upserted(old, m).write.mode("overwrite").parquet(a.metrics)
+        archive.save_state(metrics.upserted(old, m), a.metrics)
         return 0
     if a.cmd == "clear-cache":
-        archive.state(spark, a.metrics, "date string").limit(0).write.mode("overwrite").parquet(a.metrics)
+        archive.save_state(archive.state(spark, a.metrics, "date string").limit(0), a.metrics)
         return 0
     if a.cmd == "replay":
         from newsloom.plans.engine import replay
         from newsloom.sources import feeds
 
         files = metrics.archive_window(archive.with_minutes(archive.listing(spark, a.archive)))
-        fact = archive.fact_of(archive.documents(spark, a.archive)).withColumn("group", F.col("top_at").cast("long")).withColumn("label", F.col("top_id"))
-        fact = fact.withColumn("pos", F.col("sub_at") * 1_000_000 + F.col("pos"))
+        fact = archive.story_fact(archive.fact_of(archive.documents(spark, a.archive)))
         days = [(r.date, fact.where(F.col("file") == r.file)) for r in files.orderBy("minute").collect()]  # a row per run of two weeks
         archive.save_state(replay(spark, days, feeds.sources_dimension(spark, a.sources)), a.state)
         return 0
     if a.cmd == "validate":
-        bad = checks.violations(spark.read.parquet(f"{a.out}/stories")).unionByName(checks.momentum_violations(spark.read.parquet(f"{a.out}/momentum")))
+        stories, moving = archive.published(spark, a.out)
+        bad = checks.violations(stories).unionByName(checks.momentum_violations(moving))
         bad.show(100, truncate=False)
         return int(not bad.isEmpty())
-    runs = spark.read.parquet(a.metrics)
+    runs = versions.read(spark, a.metrics)
     if a.cmd == "dashboard":
         last = F.max(F.to_timestamp("ts"))
         now = F.lit(a.now).cast("timestamp")

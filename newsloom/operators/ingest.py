@@ -25,10 +25,11 @@ def source_of(base: Column, link: Column) -> Column:
     return F.coalesce(F.nullif(base, F.lit("")), F.nullif(link, F.lit("")), F.lit("unknown"))
 
 
-def feed_title(title: Column, subtitle: Column, link: Column, url: Column) -> Column:
-    """First of title, subtitle, link and the URL's host that isn't empty."""
-    host = F.regexp_extract(url, r"^[a-z]+://([^/?#]+)", 1)
-    return F.coalesce(*[F.nullif(c, F.lit("")) for c in (title, subtitle, link, host)], F.lit("Unknown Feed"))
+def feed_title(title: Column, subtitle: Column, description: Column, link: Column, url: Column) -> Column:
+    """The title if the feed has one (an empty one too); else, told as such, the first of subtitle, description and link that isn't empty, or the URL's host."""
+    told = [F.when(c != "", F.concat(F.lit(f"Feed ({name}: "), c, F.lit(")"))) for name, c in (("subtitle", subtitle), ("description", description), ("link", link))]
+    host = F.coalesce(F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")), F.nullif(url, F.lit("")))
+    return F.coalesce(title, *told, F.concat(F.lit("Feed ("), host, F.lit(")")), F.concat(F.lit("Unknown Feed ("), F.coalesce(url, F.lit("")), F.lit(")")))
 
 
 def one_per_title(entries: DataFrame) -> DataFrame:
@@ -50,6 +51,12 @@ def unknown_only(found: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return found.join(known.select(key), key, "left_anti")
 
 
+def unmapped(feeds: DataFrame, sources: DataFrame) -> DataFrame:
+    """feeds (url): those that sources (url, …) doesn't have, by url."""
+    known = sources.select(F.trim("url").alias("_url")).distinct()
+    return feeds.select(F.trim("url").alias("url")).distinct().join(known, F.col("url") == F.col("_url"), "left_anti").orderBy("url")
+
+
 def resolved(feeds: DataFrame, sources: DataFrame, domain: Column, outlet: Column) -> DataFrame:
     """feeds (feed) with outlet, domain, section from sources (url, outlet, domain, section), else derived and General."""
     s = sources.select(F.trim("url").alias("_url"), F.col("outlet").alias("_o"), F.col("domain").alias("_d"), F.col("section").alias("_s"))

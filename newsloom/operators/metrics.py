@@ -9,57 +9,88 @@ from newsloom.functions.terms import terms
 from newsloom.functions.text import clean_term
 from newsloom.operators.tables import written
 
-METRICS = ("articles", "groups", "sub_groups", "sources", "ratio")
+#: Of a run: its articles, groups (those of the top level), sub-groups, distinct sources, sub-groups a group, groups once more under their other name, and mean group size.
+METRICS = ("articles", "groups", "sub_groups", "sources", "ratio", "top_groups", "group_size")
+
+
+def places(c: Column) -> Column:
+    """Two places, halves to the even one; a sum's last bits, which depend on its order, don't count."""
+    return F.rint(F.round(c, 9) * 100) / 100
 
 
 def stats(c: Column, name: str) -> list[Column]:
-    """mean, median, min, max and sample deviation; of nothing 0, of one value deviation 0."""
-    zero = F.lit(0.0)
-    return [
-        F.coalesce(F.avg(c), zero).alias(f"{name}_mean"), F.coalesce(F.median(c), zero).alias(f"{name}_median"), F.coalesce(F.min(c).cast("double"), zero).alias(f"{name}_min"),
-        F.coalesce(F.max(c).cast("double"), zero).alias(f"{name}_max"), F.coalesce(F.stddev_samp(c), zero).alias(f"{name}_stdev"),
-    ]
+    """mean, median, min, max and sample deviation, to two places; of nothing 0, of one value deviation 0."""
+    each = {"mean": F.avg(c), "median": F.median(c), "min": F.min(c).cast("double"), "max": F.max(c).cast("double"), "stdev": F.stddev_samp(c)}
+    return [places(F.coalesce(v, F.lit(0.0))).alias(f"{name}_{k}") for k, v in each.items()]
 
 
 def file_metrics(docs: DataFrame, source_field: str = "source") -> DataFrame:
-    """docs (file, ts, doc map of maps of maps of structs): a row of metrics per file.
+    """docs (file, ts, doc map of maps of maps of structs): a row of metrics per file, as entry_metrics() gives them."""
+    top = docs.select("file", "ts", F.posexplode_outer(F.map_entries("doc")).alias("top_at", "t"))
+    sub = top.select("file", "ts", "top_at", F.posexplode_outer(F.map_entries("t.value")).alias("sub_at", "s"))
+    return entry_metrics(sub.select("file", "ts", "top_at", "sub_at", F.explode_outer(F.map_values("s.value")).alias("e")).select("file", "ts", "top_at", "sub_at", F.col(f"e.{source_field}").alias("source"), F.col("e").isNotNull().alias("is_entry")))
+
+
+def entry_metrics(rows: DataFrame) -> DataFrame:
+    """rows (file, ts, top_at, sub_at, source, is_entry), an article each: a row of metrics per file.
 
-    articles_per_group statistics mix top-level and sub-group sizes, as the monitor always did.
+    What has nothing inside (a file, group or sub-group) is a row with nulls behind it and is_entry false. articles_per_group statistics mix top-level and
+    sub-group sizes, as the monitor always did; groups without articles have no size, and sources that are empty aren't counted.
     """
-    sub = docs.select("file", "ts", F.explode_outer("doc").alias("top", "subs")).select("file", "ts", "top", F.explode_outer("subs").alias("sub", "entries"))
-    sub = sub.withColumn("n", F.coalesce(F.size("entries"), F.lit(0)))
-    tops = sub.groupBy("file", "ts", "top").agg(F.sum("n").alias("n"), F.count("sub").alias("subs"))
-    sizes = tops.where("top is not null").select("file", "n").unionByName(sub.where("sub is not null").select("file", "n"))
+    sub = rows.groupBy("file", "ts", "top_at", "sub_at").agg(F.count_if("is_entry").alias("n"))
+    tops = sub.groupBy("file", "ts", "top_at").agg(F.sum("n").alias("n"), F.count("sub_at").alias("subs"))
+    sizes = tops.select("file", "n").unionByName(sub.where("sub_at is not null").select("file", "n")).where("n > 0")
     per = sizes.groupBy("file").agg(*stats(F.col("n"), "articles_per_group"))
-    src = sub.select("file", F.explode(F.map_values("entries")).alias("e")).groupBy("file").agg(F.countDistinct(f"e.{source_field}").alias("unique_sources"))
-    whole = tops.groupBy("file", "ts").agg(F.sum("n").alias("total_articles"), F.count("top").alias("top_level_groups"), F.sum("subs").alias("sub_groups"))
-    whole = whole.withColumn("total_groups", F.col("top_level_groups") + F.col("sub_groups"))
-    ratio = F.when(F.col("top_level_groups") > 0, F.col("sub_groups") / F.col("top_level_groups")).otherwise(0.0)
-    out = whole.withColumn("subgroups_per_top_group", ratio).join(src, "file", "left").join(per, "file", "left")
-    return out.fillna(0, ["unique_sources"])
+    in_order = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda x: x["n"])
+    top_sizes = tops.where("n > 0").groupBy("file").agg(in_order(F.struct("top_at", "n")).alias("top_level_group_sizes"))
+    sub_sizes = sub.where("n > 0").groupBy("file").agg(in_order(F.struct("top_at", "sub_at", "n")).alias("sub_group_sizes"))
+    src = rows.groupBy("file").agg(F.countDistinct(F.nullif("source", F.lit(""))).alias("unique_sources"))
+    whole = tops.groupBy("file", "ts").agg(F.sum("n").alias("total_articles"), F.count("top_at").alias("top_level_groups"), F.sum("subs").alias("sub_groups"))
+    ratio = F.when(F.col("top_level_groups") > 0, places(F.col("sub_groups") / F.col("top_level_groups"))).otherwise(0.0)
+    out = whole.withColumn("total_groups", F.col("top_level_groups")).withColumn("subgroups_per_top_group", ratio)
+    for x in (src, per, top_sizes, sub_sizes):
+        out = out.join(x, "file", "left")
+    none = F.array().cast("array<bigint>")
+    out = out.withColumns({c: F.coalesce(c, none) for c in ("top_level_group_sizes", "sub_group_sizes")})
+    return out.fillna(0, [c for c in per.columns if c != "file"])
+
+
+def run_row(files: DataFrame) -> DataFrame:
+    """file_metrics() rows as a run log's: date, ts and METRICS."""
+    named = {
+        "articles": "total_articles", "groups": "total_groups", "sub_groups": "sub_groups", "sources": "unique_sources", "ratio": "subgroups_per_top_group",
+        "top_groups": "top_level_groups", "group_size": "articles_per_group_mean",
+    }
+    return files.select(F.substring("ts", 1, 10).alias("date"), "ts", *[F.col(named[m]).alias(m) for m in METRICS])
+
+
+def _those_of(columns: list[str], suffix: str = "") -> list[str]:
+    """The metrics that a table has: tables of earlier releases have five."""
+    return [m for m in METRICS if m + suffix in columns]
 
 
 def daily(runs: DataFrame) -> DataFrame:
-    """runs (date, ts, metrics…): one row per date; runs with the same stamp count once. Totals are sums over runs."""
-    once = runs.dropDuplicates(["date", "ts"])
-    aggs = [x for m in METRICS for x in stats(F.col(m), m)]
-    return once.groupBy("date").agg(F.count("*").alias("update_count"), *[F.sum(m).alias(f"{m}_total") for m in METRICS], *aggs)
+    """runs (date, ts, metrics…): one row per date with its stamps; runs with the same stamp count once. Totals are sums over runs."""
+    once, have = runs.dropDuplicates(["date", "ts"]), _those_of(runs.columns)
+    aggs = [x for m in have for x in stats(F.col(m), m)]
+    return once.groupBy("date").agg(F.count("*").alias("update_count"), F.sort_array(F.collect_list("ts")).alias("stamps"), *[F.sum(m).alias(f"{m}_total") for m in have], *aggs)
 
 
 def overall(day: DataFrame, skip_zero: tuple[str, ...] = ("sources", "ratio")) -> DataFrame:
     """Statistics of the daily means; days whose mean is 0 are skipped for `skip_zero`."""
-    cols = [F.when(F.col(f"{m}_mean") != 0, F.col(f"{m}_mean")) if m in skip_zero else F.col(f"{m}_mean") for m in METRICS]
-    return day.agg(F.count("*").alias("days"), F.sum("update_count").alias("updates"), *[x for m, c in zip(METRICS, cols, strict=True) for x in stats(c, m)])
+    have = _those_of(day.columns, "_mean")
+    cols = [F.when(F.col(f"{m}_mean") != 0, F.col(f"{m}_mean")) if m in skip_zero else F.col(f"{m}_mean") for m in have]
+    return day.agg(F.count("*").alias("days"), F.sum("update_count").alias("updates"), *[x for m, c in zip(have, cols, strict=True) for x in stats(c, m)])
 
 
 def trends(day: DataFrame, days: int = 7) -> DataFrame:
     """(metric, first, last, change_percent, direction) between the first and last of the latest `days` days."""
     last = day.orderBy(F.col("date").desc()).limit(days)
-    long_ = last.select("date", F.explode(F.create_map(*[x for m in METRICS for x in (F.lit(m), F.col(f"{m}_mean"))])).alias("metric", "value"))
+    long_ = last.select("date", F.explode(F.create_map(*[x for m in _those_of(day.columns, "_mean") for x in (F.lit(m), F.col(f"{m}_mean"))])).alias("metric", "value"))
     t = long_.groupBy("metric").agg(F.min_by("value", "date").alias("first"), F.max_by("value", "date").alias("last"))
     change = F.when(F.col("first") == 0, 0.0).otherwise((F.col("last") - F.col("first")) / F.col("first") * 100)
     direction = F.when(F.abs(change) < 1.0, "stable").when(change > 0, "up").otherwise("down")
-    return t.select("metric", "first", "last", change.alias("change_percent"), direction.alias("direction"))
+    return t.select("metric", "first", "last", places(change).alias("change_percent"), direction.alias("direction"))
 
 
 def plot_series(runs: DataFrame, days: int) -> DataFrame:

@@ -16,8 +16,15 @@ from newsloom.operators.tables import written
 
 BUDGET, MAX_TITLES, MAX_CHARS, GROWTH, RETENTION_DAYS, MAX_TOKENS = 60, 12, 140, 1.5, 30, 60
 TASK = f"These titles are of one news story. Answer with a neutral headline of it in one line of at most {MAX_CHARS} characters, and nothing else."
-#: (fixed values) marks of a reply that is no headline.
-REFUSALS = ("as an ai", "i cannot", "i can't", "i'm sorry", "here is", "here's", "sure,")
+#: (fixed values) what a reply that talks about its task holds, in lower case.
+REFUSALS = (
+    "these headlines", "the headlines", "headlines provided", "i cannot", "cannot be combined", "unable to determine", "unrelated to a single", "single news story name", "as an ai",
+    "articles cover", "articles covered", "without a common", "no single event", "no common event", "different topics", "various topics", "multiple topics",
+    "unrelated items", "unrelated stories", "unrelated events",
+)
+#: White space, and what ends a line, as the replies' language has them.
+BLANK = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+ON_A_LINE = r"[^\n\r\x0b\x0c\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]*"
 CACHE = "id string, headline string, headline_source string, article_count bigint, named_at string"
 NAMERS: dict[str, Callable[[Column], Column]] = {}
 
@@ -57,7 +64,7 @@ def local_name(titles: Column) -> Column:
 
 
 def prompt(titles: Column) -> Column:
-    """Numbered titles, one a line."""
+    """Numbered titles (with their outlets, as longest_titles() tells them), one a line."""
     return F.array_join(F.transform(titles, lambda t, i: F.concat((i + 1).cast("string"), F.lit(". "), t)), "\n")
 
 
@@ -71,7 +78,11 @@ def remote_namer(ask: Callable[[str], str], attempts: int = 2, parallel: int = 4
         with ThreadPoolExecutor(parallel) as pool:
             return pd.Series(list(pool.map(lambda p: one(f"{TASK}\n{p}") if p else None, prompts)), dtype=object)
 
-    return lambda titles: F.pandas_udf(replies, "string")(prompt(titles))
+    def name(titles: Column) -> Column:
+        return F.pandas_udf(replies, "string")(prompt(titles))
+
+    name.with_outlets = True
+    return name
 
 
 def register(name: str, ask: Callable[[str], str], **options) -> None:
@@ -108,15 +119,18 @@ def sdk_ask(invoke: Callable[[str], str]) -> Callable[[str], str]:
     return ask
 
 
-def longest_titles(articles: Column) -> Column:
-    each = F.transform(articles, lambda a, i: F.struct((-F.length(a["title"])).alias("n"), i.alias("i"), a["title"].alias("t")))
+def longest_titles(articles: Column, with_outlets: bool = False) -> Column:
+    """Titles of the articles, longest first, MAX_TITLES at most; with_outlets: each with its outlet in brackets behind it."""
+    told = (lambda a: F.concat(a["title"], F.lit(" ("), a["outlet"], F.lit(")"))) if with_outlets else lambda a: a["title"]
+    each = F.transform(articles, lambda a, i: F.struct((-F.length(a["title"])).alias("n"), i.alias("i"), told(a).alias("t")))
     return F.transform(F.slice(F.array_sort(each), 1, MAX_TITLES), lambda x: x["t"])
 
 
 def cleaned(reply: Column) -> Column:
-    """First line without quotes and a last full stop; null if empty, too long or no headline."""
-    line = F.trim(F.element_at(F.split(F.trim(reply), "\n"), 1))
-    line = F.regexp_replace(F.regexp_replace(line, "^[\"'“”]+|[\"'“”]+$", ""), r"\.$", "")
+    """First line without blanks and quotes around it and full stops at its end; null if empty, too long or no headline."""
+    line = F.regexp_extract(F.regexp_replace(reply, rf"\A{BLANK}+", ""), rf"\A{ON_A_LINE}", 0)
+    for pattern in (rf"{BLANK}+\z", "\\A[\"'“”‘’ ]+|[\"'“”‘’ ]+\\z", r"\.+\z", rf"\A{BLANK}+|{BLANK}+\z"):
+        line = F.regexp_replace(line, pattern, "")
     bad = F.lit(False)
     for mark in REFUSALS:
         bad = bad | F.lower(line).contains(mark)
@@ -135,7 +149,9 @@ def named(stories: DataFrame, cache: DataFrame, as_of: str, provider: str = "loc
     due = s.where("due").select("story", "kind", "outlet_count", "article_count", "latest_published")
     first = due.orderBy((F.col("kind") == "story").desc(), F.col("outlet_count").desc(), F.col("article_count").desc(), F.col("latest_published").desc(), "story").limit(budget)
     s = s.join(first.select("story", F.lit(True).alias("try")), "story", "left")
-    s = s.withColumn("_reply", name(F.when(F.col("try"), longest_titles(F.col("articles")))))  # null titles aren't asked for
+    known = "outlet" in stories.schema["articles"].dataType.elementType.names
+    titles = longest_titles(F.col("articles"), known and getattr(name, "with_outlets", False))
+    s = s.withColumn("_reply", name(F.when(F.col("try"), titles)))  # null titles aren't asked for
     s = s.withColumn("_new", F.when(F.col("try"), cleaned(F.col("_reply"))))
     s = s.withColumn("outcome", F.when(~F.col("due"), "cached").when(F.col("_new").isNotNull(), "named").when(F.col("try"), "failed").otherwise("over_budget"))
     s = s.withColumn("headline_source", F.when(~F.col("due"), F.col("_s")).when(F.col("_new").isNotNull(), F.lit(provider)).otherwise("fallback"))

@@ -351,39 +351,41 @@ def run_log(spark, d) -> DataFrame:
     """Events as a log of hourly runs."""
     e = table(spark, d, "events").withColumn("hour", F.date_trunc("hour", "ts"))
     r = e.groupBy("hour").agg(F.count("*").alias("articles"), F.countDistinct("event_type").alias("groups"), F.countDistinct("user_id").alias("sub_groups"), F.countDistinct("props").alias("sources"))
-    return r.select(F.to_date("hour").alias("date"), F.col("hour").alias("ts"), "articles", "groups", "sub_groups", "sources", (F.col("sub_groups") / F.col("groups")).alias("ratio"))
+    return r.select(F.to_date("hour").alias("date"), F.col("hour").alias("ts"), "articles", "groups", "sub_groups", "sources", (F.col("sub_groups") / F.col("groups")).alias("ratio"), F.col("groups").alias("top_groups"), (F.col("articles") / F.col("groups")).alias("group_size"))
 
 
-RUNS = "r AS (SELECT CAST(date_trunc('hour', ts) AS DATE) AS date, count(*) AS articles, count(DISTINCT event_type) AS groups, count(DISTINCT user_id) AS sub_groups, count(DISTINCT props) AS sources, count(DISTINCT user_id) / count(DISTINCT event_type) AS ratio FROM events GROUP BY date_trunc('hour', ts))"
+RUNS = "r AS (SELECT CAST(date_trunc('hour', ts) AS DATE) AS date, date_trunc('hour', ts) AS ts, count(*) AS articles, count(DISTINCT event_type) AS groups, count(DISTINCT user_id) AS sub_groups, count(DISTINCT props) AS sources, count(DISTINCT user_id) / count(DISTINCT event_type) AS ratio, count(DISTINCT event_type) AS top_groups, count(*) / count(DISTINCT event_type) AS group_size FROM events GROUP BY date_trunc('hour', ts))"
 
 
 def _stats_sql(m: str, c: str) -> str:
-    return f"round(coalesce(avg({c}), 0), 6) AS {m}_mean, round(coalesce(median({c}), 0), 6) AS {m}_median, round(coalesce(CAST(min({c}) AS DOUBLE), 0), 6) AS {m}_min, round(coalesce(CAST(max({c}) AS DOUBLE), 0), 6) AS {m}_max, round(coalesce(stddev_samp({c}), 0), 6) AS {m}_stdev"
+    each = {"mean": f"avg({c})", "median": f"median({c})", "min": f"CAST(min({c}) AS DOUBLE)", "max": f"CAST(max({c}) AS DOUBLE)", "stdev": f"stddev_samp({c})"}
+    return ", ".join(f"round_even(round(coalesce({v}, 0), 9), 2) AS {m}_{k}" for k, v in each.items())
 
 
 def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in df.dtypes])
 
 
-@query(f"WITH {RUNS} SELECT date, count(*) AS update_count, sum(articles)::BIGINT AS articles_total, sum(groups)::BIGINT AS groups_total, sum(sub_groups)::BIGINT AS sub_groups_total, sum(sources)::BIGINT AS sources_total, round(sum(ratio), 6) AS ratio_total, " + ", ".join(_stats_sql(m, m) for m in metrics.METRICS) + " FROM r GROUP BY date")
+@query(f"WITH {RUNS} SELECT date, count(*) AS update_count, string_agg(strftime(ts, '%H:%M'), ',' ORDER BY ts) AS stamps, " + ", ".join(f"round(sum({m}), 6) AS {m}_total" if m in ("ratio", "group_size") else f"sum({m})::BIGINT AS {m}_total" for m in metrics.METRICS) + ", " + ", ".join(_stats_sql(m, m) for m in metrics.METRICS) + " FROM r GROUP BY date")
 def daily_stats(spark, d):
-    return _rounded(metrics.daily(run_log(spark, d)))
+    day = metrics.daily(run_log(spark, d))
+    return _rounded(day.withColumn("stamps", F.array_join(F.transform("stamps", lambda t: F.date_format(t, "HH:mm")), ",")))
 
 
-MEANS = "m AS (SELECT date, count(*) AS u, " + ", ".join(f"avg({m}) AS {m}" for m in metrics.METRICS) + " FROM r GROUP BY date)"
+MEANS = "m AS (SELECT date, count(*) AS u, " + ", ".join(f"round_even(round(avg({m}), 9), 2) AS {m}" for m in metrics.METRICS) + " FROM r GROUP BY date)"
 
 
 @query(f"WITH {RUNS}, {MEANS} SELECT count(*) AS days, sum(u)::BIGINT AS updates, " + ", ".join(_stats_sql(m, f"nullif({m}, 0)" if m in ("sources", "ratio") else m) for m in metrics.METRICS) + " FROM m")
 def overall_stats(spark, d):
-    return _rounded(metrics.overall(metrics.daily(run_log(spark, d))))
+    return metrics.overall(metrics.daily(run_log(spark, d)))
 
 
 @query(f"""
-WITH {RUNS}, {MEANS}, t AS (SELECT * FROM m ORDER BY date DESC LIMIT 7), u AS (UNPIVOT t ON articles, groups, sub_groups, sources, ratio INTO NAME metric VALUE value),
+WITH {RUNS}, {MEANS}, t AS (SELECT * FROM m ORDER BY date DESC LIMIT 7), u AS (UNPIVOT t ON {", ".join(metrics.METRICS)} INTO NAME metric VALUE value),
 x AS (SELECT metric, arg_min(value, date) AS first, arg_max(value, date) AS last FROM u GROUP BY metric), y AS (SELECT *, CASE WHEN first = 0 THEN 0 ELSE (last - first) / first * 100 END AS c FROM x)
-SELECT metric, round(first, 6) AS first, round(last, 6) AS last, round(c, 6) AS change_percent, CASE WHEN abs(c) < 1 THEN 'stable' WHEN c > 0 THEN 'up' ELSE 'down' END AS direction FROM y""")
+SELECT metric, first, last, round_even(round(c, 9), 2) AS change_percent, CASE WHEN abs(c) < 1 THEN 'stable' WHEN c > 0 THEN 'up' ELSE 'down' END AS direction FROM y""")
 def window_trends(spark, d):
-    return _rounded(metrics.trends(metrics.daily(run_log(spark, d)), 7))
+    return metrics.trends(metrics.daily(run_log(spark, d)), 7)
 
 
 @query(f"WITH {RUNS} SELECT date, sum(articles)::BIGINT AS articles, sum(groups)::BIGINT AS groups, sum(greatest(articles - groups - sub_groups, 0))::BIGINT AS independent FROM r GROUP BY date ORDER BY date DESC LIMIT 30")
@@ -392,20 +394,23 @@ def plot_series(spark, d):
 
 
 @query(r"""
-WITH s AS (SELECT r_name AS file, n_name AS top, c_mktsegment AS sub, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3),
-t AS (SELECT file, top, sum(n)::BIGINT AS n, count(*) AS subs FROM s GROUP BY 1, 2), z AS (SELECT file, n FROM s UNION ALL SELECT file, n FROM t)
-SELECT t.file, sum(t.n)::BIGINT AS total_articles, count(*) AS top_level_groups, sum(subs)::BIGINT AS sub_groups, round(sum(subs) / count(*), 6) AS ratio, any_value(q.med) AS size_median, any_value(q.dev) AS size_stdev
-FROM t JOIN (SELECT file, median(n) AS med, round(stddev_samp(n), 6) AS dev FROM z GROUP BY file) q ON q.file = t.file GROUP BY t.file""")
+WITH s AS (SELECT r_name AS file, n_nationkey AS top, c_mktsegment AS sub, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3),
+t AS (SELECT file, top, sum(n)::BIGINT AS n, count(*) AS subs FROM s GROUP BY 1, 2), z AS (SELECT file, n FROM s UNION ALL SELECT file, n FROM t),
+q AS (SELECT file, round_even(round(avg(n), 9), 2) AS size_mean, round_even(median(n), 2) AS size_median, round_even(round(stddev_samp(n), 9), 2) AS size_stdev FROM z GROUP BY file),
+l AS (SELECT file, string_agg(n, ',' ORDER BY top) AS top_sizes FROM t GROUP BY file), k AS (SELECT file, string_agg(n, ',' ORDER BY top, sub) AS sub_sizes FROM s GROUP BY file),
+w AS (SELECT file, sum(n)::BIGINT AS total_articles, count(*) AS total_groups, sum(subs)::BIGINT AS sub_groups, count(*) AS unique_sources, round_even(round(sum(subs) / count(*), 9), 2) AS ratio FROM t GROUP BY file)
+SELECT * FROM w JOIN q USING (file) JOIN l USING (file) JOIN k USING (file)""")
 def file_metrics(spark, d):
-    """A region is a file of nations, segments and customers."""
+    """A region is a file of nations (its groups and sources), segments (sub-groups) and customers (articles)."""
     dim = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     c = table(spark, d, "customer").join(dim, F.col("c_nationkey") == F.col("n_nationkey"))
-    entry = F.struct("c_name", F.struct(F.col("c_name").alias("title"), F.col("n_name").alias("source")))
-    s = c.groupBy("r_name", "n_name", "c_mktsegment").agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
-    t = s.groupBy("r_name", "n_name").agg(F.map_from_entries(F.collect_list(F.struct("c_mktsegment", "m"))).alias("m"))
-    f = t.groupBy(F.col("r_name").alias("file")).agg(F.map_from_entries(F.collect_list(F.struct("n_name", "m"))).alias("doc")).withColumn("ts", F.lit("2024-01-01"))
-    m = metrics.file_metrics(f)
-    return m.select("file", "total_articles", "top_level_groups", "sub_groups", F.round("subgroups_per_top_group", 6).alias("ratio"), F.col("articles_per_group_median").alias("size_median"), F.round("articles_per_group_stdev", 6).alias("size_stdev"))
+    rows = c.select(F.col("r_name").alias("file"), F.lit("2024-01-01").alias("ts"), F.col("n_nationkey").alias("top_at"), F.col("c_mktsegment").alias("sub_at"), F.col("n_name").alias("source"), F.lit(True).alias("is_entry"))
+    m = metrics.entry_metrics(rows)
+    size = lambda k: F.col(f"articles_per_group_{k}").alias(f"size_{k}")
+    return m.select(
+        "file", "total_articles", "total_groups", "sub_groups", "unique_sources", F.col("subgroups_per_top_group").alias("ratio"), size("mean"), size("median"), size("stdev"),
+        F.array_join("top_level_group_sizes", ",").alias("top_sizes"), F.array_join("sub_group_sizes", ",").alias("sub_sizes"),
+    )
 
 
 @query(f"""

@@ -61,12 +61,14 @@ def required_entries(spark, d):
     return e.select("pos", ingest.source_of(F.lit(""), F.col("link")).alias("source"))
 
 
-@query(r"""SELECT page_id, CASE WHEN t <> '' THEN t WHEN h <> '' THEN h ELSE 'Unknown Feed' END AS feed_title
-FROM (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS t, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS h FROM pages)""")
+@query(r"""SELECT page_id, CASE WHEN h LIKE '%.com' THEN t WHEN h LIKE '%.net' THEN 'Feed (subtitle: ' || t || ')' WHEN h LIKE '%.org' THEN 'Feed (link: ' || url || ')' ELSE 'Feed (' || h || ')' END AS feed_title
+FROM (SELECT page_id, url, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS t, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS h FROM pages)""")
 def feed_titles(spark, d):
+    """A page is a feed: those of .com have a title, of .net a subtitle, of .org a link, all others a URL alone."""
+    t, host = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), links.authority(F.col("url"))
+    only = lambda end, c: F.when(host.endswith(end), c)
     p = table(spark, d, "pages")
-    none = F.lit(None).cast("string")
-    return p.select("page_id", ingest.feed_title(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), none, none, F.col("url")).alias("feed_title"))
+    return p.select("page_id", ingest.feed_title(only(".com", t), only(".net", t), F.lit(None).cast("string"), only(".org", F.col("url")), F.col("url")).alias("feed_title"))
 
 
 @query(r"""WITH x AS (SELECT DISTINCT split_part(array_to_string(list_slice(string_split(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), '.'), -2, -1), '.'), '.', 1) AS l FROM pages)
@@ -210,22 +212,25 @@ def document_keywords(spark, d):
 # ---- names
 
 
-def _articles(c: Column) -> Column:
-    return F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda t: F.struct(t.alias("title")))
+def _articles(c: Column, outlet: Column) -> Column:
+    return F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda t: F.struct(t.alias("title"), outlet.alias("outlet")))
 
 
-@query(r"""WITH l AS (SELECT doc_id, ls, unnest(generate_series(1, len(ls))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
-r AS (SELECT doc_id, ls[i] AS t, row_number() OVER (PARTITION BY doc_id ORDER BY length(ls[i]) DESC, i) AS k FROM l)
-SELECT doc_id, md5(string_agg(k || '. ' || t, chr(10) ORDER BY k)) AS prompt FROM r WHERE k <= 12 GROUP BY doc_id""")
+@query(r"""WITH l AS (SELECT doc_id, source, ls, unnest(generate_series(1, len(ls))) AS i FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+r AS (SELECT doc_id, source, ls[i] AS t, row_number() OVER (PARTITION BY doc_id ORDER BY length(ls[i]) DESC, i) AS k FROM l)
+SELECT doc_id, md5(string_agg(k || '. ' || t || ' (' || source || ')', chr(10) ORDER BY k)) AS prompt FROM r WHERE k <= 12 GROUP BY doc_id""")
 def naming_prompts(spark, d):
-    p = naming.prompt(naming.longest_titles(_articles(F.col("text"))))
+    """A document is a story, its lines the titles, its source their outlet."""
+    p = naming.prompt(naming.longest_titles(_articles(F.col("text"), F.col("source")), with_outlets=True))
     return table(spark, d, "documents").select("doc_id", F.md5(p).alias("prompt"))
 
 
 _REFUSED = " OR ".join("contains(lower(l), '" + m.replace("'", "''") + "')" for m in naming.REFUSALS)
 
 
-@query(rf"""WITH x AS (SELECT doc_id, regexp_replace(regexp_replace(trim(string_split(trim(text), chr(10))[1]), '^["''“”]+|["''“”]+$', '', 'g'), '\.$', '') AS l FROM documents)
+@query(rf"""WITH a AS (SELECT doc_id, regexp_extract(regexp_replace(text, '\A{naming.BLANK}+', ''), '\A[^\n\r\x0b\x0c\x{{1c}}-\x{{1e}}\x{{85}}\x{{2028}}\x{{2029}}]*') AS l FROM documents),
+b AS (SELECT doc_id, regexp_replace(l, '{naming.BLANK}+\z', '') AS l FROM a), c AS (SELECT doc_id, regexp_replace(l, '\A["''“”‘’ ]+|["''“”‘’ ]+\z', '', 'g') AS l FROM b),
+x AS (SELECT doc_id, regexp_replace(regexp_replace(l, '\.+\z', ''), '\A{naming.BLANK}+|{naming.BLANK}+\z', '', 'g') AS l FROM c)
 SELECT doc_id, CASE WHEN l <> '' AND length(l) <= 140 AND NOT ({_REFUSED}) THEN l END AS headline FROM x""")
 def clean_replies(spark, d):
     """A document's text is a namer's reply."""

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.dates import file_stamp, minute_of
-from newsloom.functions.retry import retried
 from newsloom.operators.checks import gate
 from newsloom.operators.stories import document_header
 from newsloom.operators.tables import written
+from newsloom.sources import objects, versions
 
 DOC = "map<string,map<string,map<string,struct<title:string,link:string,timestamp:string,source:string>>>>"
 #: Entries as older files write them too: published and title_detail_base for timestamp and source.
 ENTRIES = DOC.replace("source:string", "source:string,published:string,title_detail_base:string")
 NAME = r"^latest_news_\d[^/]*\.json$"
 WRITERS = ("local", "remote", "both")
+#: Files of a mirror up to which they are dealt to tasks by size, in one window over their listing; more are dealt by hash.
+DEALT = 100_000
 
 
 def listing(spark: SparkSession, path: str, since: str | None = None, compat_all_json: bool = False) -> DataFrame:
@@ -37,7 +39,11 @@ def _doc(raw: Column) -> Column:
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """(file, ts, doc) of every JSON file under path, with old or new names of an entry's fields; one that can't be read has doc null."""
-    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return parsed(spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"))
+
+
+def parsed(raw: DataFrame) -> DataFrame:
+    """raw (file, value): (file, ts, doc) of JSON documents."""
     return raw.select("file", file_stamp(F.substring_index("file", "/", -1)).alias("ts"), _doc(F.from_json("value", ENTRIES)).alias("doc"))
 
 
@@ -49,6 +55,11 @@ def fact_of(docs: DataFrame) -> DataFrame:
     return c.select("file", "ts", "top_at", "top_id", "sub_at", "sub_id", "pos", "e.*")
 
 
+def story_fact(fact: DataFrame) -> DataFrame:
+    """fact_of() rows to stories()' input: groups numbered by their place in the document."""
+    return fact.withColumn("group", F.col("top_at").cast("long")).withColumn("label", F.col("top_id")).withColumn("pos", F.col("sub_at") * 1_000_000 + F.col("pos"))
+
+
 def _object(at: str, key: str, value: Column) -> Column:
     """Aggregate: a JSON object of key (a column's name) to value (JSON), in the order of `at`."""
     name = F.regexp_extract(F.to_json(F.struct(F.col(key).alias("k"))), r'^\{"k":(.*)\}$', 1)
@@ -66,37 +77,45 @@ def document_of(fact: DataFrame) -> DataFrame:
 
 
 def state(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A state table, or an empty one where there is none yet."""
+    """A state table's current version, or an empty one where there is none yet."""
+    return versions.load(spark, path, schema)
+
+
+def save_state(df: DataFrame, path: str, batch: int | None = None, notes: dict | None = None) -> None:
+    """A state table's next version; df may have been read from the current one."""
+    versions.commit(path, {versions.ONE: df}, batch, notes)
+
+
+def count(spark: SparkSession, path: str, since: str | None = None, compat_all_json: bool = False) -> int:
+    """How many files of runs the archive has; 0 where there is no archive."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        return listing(spark, path, since, compat_all_json).count()
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], schema)
+            return 0
         raise
 
 
-def save_state(df: DataFrame, path: str) -> None:
-    """Overwrites a state table that df may have been read from."""
-    written(df, "state").write.mode("overwrite").parquet(path)
-
-
 def metadata(spark: SparkSession, stamp: str, version: str, local: str | None, remote: str | None) -> DataFrame:
     """One row; the local path wins as the reference to the latest document."""
     return spark.createDataFrame([(stamp, version, local or remote)], "datetime string, version string, latest_log_reference string")
 
 
-def emit(fact: DataFrame, stamp: str, version: str, writer: str, local: str | None = None, remote: str | None = None) -> None:
-    """Archive copy, latest document and metadata, to the places that the writer names."""
+def emit(fact: DataFrame, stamp: str, version: str, writer: str, local: str | None = None, remote: str | None = None, public: bool = False) -> None:
+    """Archive copy, latest document and metadata, to the places that the writer names: at each place all three or none.
+
+    public: the remote place's objects are readable by everybody, where it has access lists.
+    """
     if writer not in WRITERS:
         raise ValueError(f"writer is one of {', '.join(WRITERS)}, not {writer!r}")
     doc = written(document_of(fact), "document")
     name = f"latest_news_{version}_{stamp.replace(':', '-')}.json"  # a colon can't be in every file system's names
-    places = [p for w, p in (("local", local), ("remote", remote)) if writer in (w, "both") and p]
-    for p in places:
-        doc.coalesce(1).write.mode("overwrite").text(f"{p}/archive/{name}")
-        doc.coalesce(1).write.mode("overwrite").text(f"{p}/latest_news.json")
-        ref = {"local": f"{local}/latest_news.json" if writer in ("local", "both") else None, "remote": f"{remote}/archive/{name}"}
-        metadata(fact.sparkSession, stamp, version, ref["local"], ref["remote"]).coalesce(1).write.mode("overwrite").json(f"{p}/latest_news_metadata.json")
+    ref = {"local": f"{local}/latest_news.json" if writer in ("local", "both") else None, "remote": f"{remote}/archive/{name}"}
+    meta = metadata(fact.sparkSession, stamp, version, ref["local"], ref["remote"]).select(F.lit("latest_news_metadata.json").alias("target"), F.to_json(F.struct("*")).alias("body"))
+    for kind, place in (("local", local), ("remote", remote)):
+        if writer in (kind, "both") and place:
+            body = lambda target: doc.select(F.lit(target).alias("target"), F.col("json").alias("body"))
+            objects.put_rows(place, body(f"archive/{name}"), body("latest_news.json"), meta, public=public and kind == "remote")
 
 
 def log_visualization(fact: DataFrame, stamp: str, version: str, local: str, remote: str | None = None, s3: bool = False) -> None:
@@ -113,22 +132,34 @@ def emit_stories(stories: DataFrame, momentum: DataFrame, new_state: DataFrame,
     """Stories, momentum and, last, the state, if the gate lets them through: by distinct articles and by the number of stories."""
     spark = stories.sparkSession
     counts = lambda s: tuple(document_header(s).select("article_count", "story_count").first())
-    try:
-        old = counts(spark.read.parquet(f"{path}/stories"))
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = (None, None)
-    row = spark.createDataFrame([(*counts(stories), *old)], "a long, s long, pa long, ps long")
+    old = versions.pointer(path).get("notes", {}).get("counts", (None, None))
+    own = counts(stories)
+    row = spark.createDataFrame([(*own, *old)], "a long, s long, pa long, ps long")
     ok, reason = row.select(gate(*(F.col(c) for c in row.columns), **limits).alias("g")).first().g
     if gated and not ok:
         return False, reason
-    stories.write.mode("overwrite").parquet(f"{path}/stories")
-    momentum.write.mode("overwrite").parquet(f"{path}/momentum")
+    versions.commit(path, {"stories": stories, "momentum": momentum}, notes={"counts": own})
     save_state(new_state, state_path)
     return True, ""
 
 
+def published(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Stories and momentum as emit_stories() published them last."""
+    at = f"{path}/{versions.pointer(path)['version']}"
+    return spark.read.parquet(f"{at}/stories"), spark.read.parquet(f"{at}/momentum")
+
+
+def raw_path(path: str, stamp: str, name: str) -> str:
+    """Where a run's raw file is kept: by year and month of its stamp."""
+    return f"{path}/{stamp[:4]}/{stamp[5:7]}/{name}"
+
+
+def raw_document(spark: SparkSession, path: str, stamp: str, name: str) -> DataFrame | None:
+    """(file, ts, doc) of a raw file that is kept; None if it isn't."""
+    at = raw_path(path, stamp, name)
+    return documents(spark, at) if objects.exists(at) else None
+
+
 def save_raw(df: DataFrame, path: str, stamp: str = "ts") -> None:
     """Raw documents by year and month."""
     t = F.to_timestamp(F.substring(stamp, 1, 10))
@@ -151,31 +182,26 @@ def to_mirror(there: DataFrame, here: DataFrame) -> DataFrame:
     return there.join(here.select("name", "size"), ["name", "size"], "left_anti")
 
 
-def mirrored(spark: SparkSession, path: str, target: str, since: str = "2021", threads: int = 16, attempts: int = 3) -> int:
+def mirrored(spark: SparkSession, path: str, target: str, since: str = "2021", attempts: int = 3) -> int:
     """Copies the runs of an archive from `since` on to target/<year>/, but those that are there in the same size; their number.
 
-    The driver gets a name a run and streams the files, `threads` at a time; a copy that fails `attempts` times fails the call.
+    Tasks copy, each file under another name first and moved when it is whole, so a lost task leaves no half file; the driver has the listings alone.
+    A copy that fails `attempts` times fails its task.
     """
-    from concurrent.futures import ThreadPoolExecutor
-
     try:
         here = listing(spark, target)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         here = spark.createDataFrame([], "name string, size bigint")
-    todo = to_mirror(listing(spark, path, since), here).select("file", "name", F.substring("stamp", 1, 4).alias("year")).collect()
-    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-
-    def copy(row) -> None:
-        src, dst = hadoop.Path(row.file), hadoop.Path(f"{target}/{row.year}/{row.name}")
-        to = dst.getFileSystem(conf)
-        to.mkdirs(dst.getParent())
-        if not hadoop.FileUtil.copy(src.getFileSystem(conf), src, to, dst, False, True, conf):
-            raise OSError(f"{row.file} wasn't copied")
-
-    with ThreadPoolExecutor(threads) as pool:
-        return len(list(pool.map(retried(copy, attempts), todo)))
+    todo = to_mirror(listing(spark, path, since), here).select(F.concat_ws("/", F.substring("stamp", 1, 4), "name").alias("target"), "file", "size")
+    todo = written(todo, "mirror")
+    n = todo.count()
+    if n:  # largest first, dealt in turn
+        tasks = min(n, 4 * spark.sparkContext.defaultParallelism)
+        dealt = todo.withColumn("k", F.row_number().over(Window.orderBy(F.col("size").desc(), "target")) % tasks) if n <= DEALT else todo.withColumn("k", F.pmod(F.xxhash64("target"), F.lit(tasks)))
+        objects.put_all(dealt.repartitionById(tasks, F.col("k").cast("int")).select("target", "file"), target, attempts=attempts)
+    return n
 
 
 def with_minutes(files: DataFrame) -> DataFrame:

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from newsloom.functions.retry import retried
 from newsloom.operators.ingest import feed_title
 
-ENTRY = "feed_url string, feed_title string, pos bigint, title string, link string, published string, title_detail_base string, bozo boolean, error string"
+ENTRY = "feed_url string, feed_title string, feed_subtitle string, feed_description string, feed_link string, pos bigint, title string, link string, published string, title_detail_base string, bozo boolean, error string"
 
 
-def _arrow(ddl: str) -> pa.Schema:
+def arrow_schema(ddl: str) -> pa.Schema:
     kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
     return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in ddl.split(", "))])
 
@@ -70,18 +70,19 @@ def parse_feed(url: str, body: str | bytes) -> list[dict]:
     except ET.ParseError as e:
         return [{"feed_url": url, "bozo": True, "error": str(e)}]
     channel = next((c for c in root if tag(c) == "channel"), root)
-    title, sub, link = text(channel, "title"), text(channel, "subtitle", "description"), text(channel, "link")
+    title = next(((c.text or "").strip() for c in channel if tag(c) == "title"), None)
+    told = {"feed_title": title, "feed_subtitle": text(channel, "subtitle"), "feed_description": text(channel, "description"), "feed_link": text(channel, "link")}
     base = root.get("{http://www.w3.org/XML/1998/namespace}base") or url
     out = []
     items = [e for e in root.iter() if tag(e) in ("item", "entry")]
     for i, e in enumerate(items):
-        out.append({"feed_url": url, "feed_title": title or sub or link, "pos": i, "title": text(e, "title"), "link": text(e, "link", "guid", "id"), "published": text(e, "pubdate", "published", "updated", "date"), "title_detail_base": base, "bozo": False})
+        out.append({"feed_url": url, **told, "pos": i, "title": text(e, "title"), "link": text(e, "link", "guid", "id"), "published": text(e, "pubdate", "published", "updated", "date"), "title_detail_base": base, "bozo": False})
     return out
 
 
 def entries_of(feeds: DataFrame, body: str = "body") -> DataFrame:
     """feeds (url, body): entries. One Arrow pass over the documents; a feed that can't be read is one row with its error."""
-    schema = _arrow(ENTRY)
+    schema = arrow_schema(ENTRY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -89,14 +90,15 @@ def entries_of(feeds: DataFrame, body: str = "body") -> DataFrame:
                 yield pa.RecordBatch.from_pylist(parse_feed(u, x or ""), schema)
 
     e = feeds.select("url", body).mapInArrow(run, ENTRY)
-    return e.withColumn("feed_title", feed_title(F.col("feed_title"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("feed_url")))
+    told = ("feed_subtitle", "feed_description", "feed_link")
+    return e.withColumn("feed_title", feed_title(F.col("feed_title"), *map(F.col, told), F.col("feed_url"))).drop(*told)
 
 
 def fetched(feeds: DataFrame, fetch: Callable[[str], tuple[int | None, str, int]], attempts: int = 1) -> DataFrame:
     """feeds (url) through fetch(url) -> (status, body, milliseconds): url, http_status, body, latency_ms, error. A feed that fails in all attempts is a row too."""
     fetch = retried(fetch, attempts)
     ddl = "url string, http_status int, body string, latency_ms int, error string"
-    schema = _arrow(ddl)
+    schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.operators.metrics import upserted
-from newsloom.operators.tables import drop_written
-from newsloom.sources.archive import state
+from newsloom.operators.momentum import STATE, advanced, momentum
+from newsloom.operators.stories import stories
+from newsloom.operators.tables import drop_written, written
+from newsloom.sources import archive, versions
 
 
 def event_stream(spark: SparkSession, path: str, schema, max_files: int = 100) -> DataFrame:
@@ -33,11 +35,54 @@ def run_polling(df: DataFrame, handle, checkpoint: str, minutes: int = 60):
 
 
 def metrics_upsert(path: str, schema: str):
-    """A foreachBatch handler: new runs' metrics into the table at path; a stamp that is there already is left alone, so replays are harmless."""
+    """A foreachBatch handler: new runs' metrics into the table at path. A batch that was committed is skipped, and a stamp that is there already is left alone."""
 
-    def handle(batch: DataFrame, _: int) -> None:
-        new = upserted(state(batch.sparkSession, path, schema), batch)
-        new.write.mode("overwrite").parquet(path)
+    def handle(batch: DataFrame, number: int) -> None:
+        if versions.seen(path, number):
+            return
+        new = upserted(versions.load(batch.sparkSession, path, schema), batch)
+        versions.commit(path, {versions.ONE: new}, number)
         drop_written(new)
 
     return handle
+
+
+def document_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
+    """Archived runs as they arrive: (file, ts, doc), as archive.documents() gives them."""
+    raw = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true").load(path)
+    return archive.parsed(raw.select(F.col("_metadata.file_path").alias("file"), "value"))
+
+
+def carry(path: str, sources: DataFrame):
+    """A foreachBatch handler of document_stream(): a batch's runs, in order of their stamps, through stories and momentum.advanced() to the versioned state at path.
+
+    Stories, momentum and state of a batch are one version, whose notes have the last run's stamp. A run at or before that stamp comes late and
+    is refused: the state has gone past it; its file and stamp go to the version's table `refused`. A batch that was committed is skipped, so a
+    restart neither loses a run nor counts one twice. The driver has the batch's stamps, at most as many as files in a batch.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        if versions.seen(path, number):
+            return
+        spark = batch.sparkSession
+        batch = written(batch.where("ts is not null and doc is not null"), "runs")
+        last = before = versions.pointer(path).get("notes", {}).get("stamp", "")
+        state = versions.load(spark, path, STATE, "state")
+        runs = [(r.ts, r.file) for r in batch.groupBy("ts").agg(F.min("file").alias("file")).orderBy("ts").collect()]
+        told = None
+        for stamp, file in [r for r in runs if r[0] > before]:
+            s, state = advanced(written(stories(archive.story_fact(archive.fact_of(batch.where(F.col("file") == file))), sources), "stories"), state, stamp[:10])
+            told, last = s, stamp
+        refused = spark.createDataFrame([r for r in runs if r[0] <= before], "stamp string, file string")
+        tables = {"state": state, "refused": refused}
+        if told is not None:
+            tables |= {"stories": told, "momentum": momentum(state, told)}
+        versions.commit(path, tables, number, {"stamp": last})
+
+    return handle
+
+
+def run_carry(spark: SparkSession, archive_path: str, path: str, sources: DataFrame, checkpoint: str, max_files: int = 1) -> None:
+    """carry() over everything that has arrived, then stop."""
+    q = document_stream(spark, archive_path, max_files).writeStream.foreachBatch(carry(path, sources)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()

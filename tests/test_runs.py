@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import momentum, naming
 from newsloom.plans import engine
-from newsloom.sources import archive, feeds
+from newsloom.sources import archive, feeds, versions
 from newsloom.streaming import archive_stream
 
 RSS = """<rss><channel><title>Planet</title><item><title>{0} bridge closes after storm damage</title><link>https://{1}.com/a</link><pubDate>Mon, 02 Mar 2026 10:00:00 GMT</pubDate></item>
@@ -32,7 +32,7 @@ def test_feeds_to_stories(spark, tmp_path):
     from newsloom.functions.dates import parsed
 
     e = entries(spark).cache()
-    assert {x.feed_title for x in e.where("not bozo").collect()} == {"Planet", "Sub"} and e.where("bozo").count() == 1
+    assert {x.feed_title for x in e.where("not bozo").collect()} == {"Planet", "Feed (subtitle: Sub)"} and e.where("bozo").count() == 1
     e = e.withColumn("day", F.to_date(parsed(F.col("published")))).withColumn("pos", F.row_number().over(Window.orderBy("feed_url", "pos")))
     none = spark.createDataFrame([], "url string, outlet string, domain string, section string")
     out = engine.run(e, none, spark.createDataFrame([], momentum.STATE), spark.createDataFrame([], naming.CACHE), "2026-03-03")
@@ -128,7 +128,7 @@ def test_command_line(spark, tmp_path, monkeypatch):
     (a / "momentum_state.json").write_text("{}")
     for _ in range(2):
         assert cli.main(["update", "--archive", str(a), "--metrics", m]) == 0
-    assert sorted((x.date, x.articles, x.sources) for x in spark.read.parquet(m).collect()) == [("2026-03-01", 2, 2), ("2026-03-02", 2, 2)]
+    assert sorted((x.date, x.articles, x.sources) for x in versions.read(spark, m).collect()) == [("2026-03-01", 2, 2), ("2026-03-02", 2, 2)]
     assert cli.main(["stats", "--metrics", m]) == 0 and cli.main(["analyze", "--metrics", m]) == 0
     assert cli.main(["dashboard", "--metrics", m, "--now", "2026-03-02 12:00:00"]) == 0
     assert cli.main(["replay", "--archive", str(a), "--state", str(tmp_path / "state")]) == 0
