@@ -1,7 +1,8 @@
 """Chat formatting with tool-call linking, with DataFrame functions alone.
 
-A turn's text may be plain, or a JSON object: {"tool_calls": [{"id", "name", "arguments": {...}}], "content"} of an assistant, or
-{"tool_call_id", "content"} of a tool. Calls and results are joined by (conversation, identifier), arguments are validated
+A turn's text may be plain, or a JSON object: {"tool_calls": [...], "content", ...} of an assistant, or {"tool_call_id", "content", ...} of a tool. A
+call is {"id", "name", "arguments", ...} or {"id", "function": {"name", "arguments", ...}, ...}; both are written in the first form, and what else a message, a call
+or its function holds is kept under its own key. Calls and results are joined by (conversation, identifier), arguments are validated
 against the schemas of the tools, and messages are put in topological order: a result stands behind its call, and what already
 stands behind it stays. Each message is one row with its sort position and its canonical JSON (keys sorted, no
 spaces), so a conversation of any length is never gathered into one task.
@@ -9,11 +10,11 @@ spaces), so a conversation of any length is never gathered into one task.
 Position: (at, step, turn): at is the turn, or for a result that came before its call the call's turn with step 1. Equal
 positions (repeated turns) are ordered by the JSON.
 
-Defined results: role null is 'user', text null is ''; a text that isn't such an object is content; of calls that share an
-identifier within a conversation the first (smallest turn) is linked, the others are flagged duplicate (their identifiers, in messages(); the
-query's columns are those of its SQL); a result without a call is flagged orphan; a call without a result is unanswered, as a duplicate is; a tool without a schema accepts any
+Defined results: role null is 'user', text null is ''; a text that isn't such an object as a whole is content, as it came: with anything behind the object, a key that
+an object repeats, a number that no double holds, or calls that aren't all objects; a key "role" inside a text gives way to the turn's role; content that isn't a string keeps its JSON; of calls that share an
+identifier within a conversation the first (smallest turn) is linked, the others are flagged duplicate (their identifiers); a result without a call is flagged orphan; a call without a result is unanswered, as a duplicate is; a tool without a schema accepts any
 object; arguments may be an object or a string that holds one, which is read; anything else is the problem "arguments" and is written as it came (none:
-{}); of a key that an object repeats the last counts; a number is written by its value (whole and decimal ones of up to 38 digits exactly, others as the
+{}); a number is written by its value (whole and decimal ones of up to 38 digits exactly, others as the
 nearest double); repeated rows stay; further columns are ignored; an empty table gives none.
 """
 
@@ -29,7 +30,34 @@ SCHEMAS: dict[str, dict[str, tuple[str, bool]]] = {
     "weather": {"city": ("string", True), "days": ("integer", False), "metric": ("boolean", False)},
 }
 
-_CALL = "array<struct<id:string,name:string,arguments:variant>>"
+_MAP = "map<string,variant>"
+
+
+def parsed(text: Column) -> Column:
+    """text as a variant if all of it is one JSON value that can be written again: no repeated key, nothing behind it, no number beyond a double's range; else null.
+
+    The parser stops behind the first value. Inside brackets and inside braces what may follow differs, so a text that is read to its end in both is one value, or several with
+    commas, which the brackets count.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    inside = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
+    one = F.try_variant_get(listed, "$[0]", "variant")
+    more = F.try_variant_get(listed, "$[1]", "variant").isNotNull() | (F.size(F.map_keys(inside.cast(_MAP))) > 1)
+    infinite = F.regexp_count(F.to_json(one), F.lit("Infinity|NaN")) > F.regexp_count(text, F.lit("Infinity|NaN"))
+    return F.when(listed.isNotNull() & inside.isNotNull() & ~more & ~F.coalesce(infinite, F.lit(False)), one)
+
+
+def _kind(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v), F.lit(""))
+
+
+def _text_of(v: Column) -> Column:
+    """A name or identifier: a string as it is, another value as its JSON, nothing for null."""
+    return F.when(v.isNull() | F.is_variant_null(v), None).when(_kind(v) == "STRING", v.cast("string")).otherwise(F.to_json(v))
+
+
+def _without(m: Column, *keys: str) -> Column:
+    return F.map_filter(m, lambda k, _: ~k.isin(*keys))
 
 
 def quoted(c: Column) -> Column:
@@ -45,12 +73,18 @@ def _typed(value: Column, kind: str) -> Column:
 
 
 def _read(call: Column) -> Column:
-    """A call with its arguments as a map, null if they are no object; raw: as they came."""
-    raw = call["arguments"]
-    kind = F.schema_of_variant(raw)
-    inner = F.when(kind == "STRING", F.try_parse_json(raw.cast("string"))).otherwise(raw)
-    object_ = F.when(F.schema_of_variant(inner).startswith("OBJECT"), inner)
-    return F.struct(call["id"].alias("id"), call["name"].alias("name"), object_.cast("map<string,variant>").alias("arguments"), raw.alias("raw"))
+    """A call (variant) with its arguments as a map, null if they are no object; raw: as they came; rest: its other keys."""
+    own = call.cast(_MAP)
+    inner = F.when(_kind(own["function"]).startswith("OBJECT") & own["name"].isNull() & own["arguments"].isNull(), own["function"].cast(_MAP))
+    raw = F.when(inner.isNotNull(), inner["arguments"]).otherwise(own["arguments"])
+    value = F.when(_kind(raw) == "STRING", parsed(raw.cast("string"))).otherwise(raw)
+    object_ = F.when(_kind(value).startswith("OBJECT"), value)
+    left = _without(inner, "name", "arguments")
+    rest = F.when(inner.isNull(), _without(own, "id", "name", "arguments")).otherwise(_without(own, "id", "name", "arguments", "function"))
+    return F.struct(
+        _text_of(own["id"]).alias("id"), own["id"].alias("raw_id"), _text_of(F.when(inner.isNotNull(), inner["name"]).otherwise(own["name"])).alias("name"),
+        object_.cast(_MAP).alias("arguments"), raw.alias("raw"), rest.alias("rest"), F.when(F.size(left) > 0, left).alias("function"),
+    )
 
 
 def problems(name: Column, args: Column, schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
@@ -71,14 +105,18 @@ def messages(turns: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] =
     """turns (conv_id, turn, role, text): a row for each with its position, links, problems and canonical JSON."""
     text = F.coalesce(F.col("text"), F.lit(""))
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), text.alias("text"))
-    is_json = F.col("text").startswith("{")
-    parsed = F.when(is_json, F.from_json("text", f"content string, tool_call_id string, tool_calls {_CALL}"))
-    t = t.withColumn("p", parsed)
-    t = t.withColumn("p", F.col("p").withField("tool_calls", F.transform("p.tool_calls", _read)))
-    is_call = (F.col("role") == "assistant") & F.coalesce(F.size("p.tool_calls") > 0, F.lit(False))
-    is_result = (F.col("role") == "tool") & F.col("p.tool_call_id").isNotNull()
-    t = t.withColumn("calls", F.when(is_call, F.col("p.tool_calls"))).withColumn("answers", F.when(is_result, F.col("p.tool_call_id")))
-    t = t.withColumn("content", F.when(is_call | is_result, F.coalesce("p.content", F.lit(""))).otherwise(F.col("text"))).drop("p")
+    may = F.col("text").rlike(r"\A\s*\{") & F.col("role").isin("assistant", "tool")
+    t = t.withColumn("v", F.when(may, parsed(F.col("text"))))
+    t = t.withColumn("m", F.when(_kind(F.col("v")).startswith("OBJECT"), F.col("v").cast(_MAP)))
+    listed = F.when(_kind(F.col("m.tool_calls")).startswith("ARRAY"), F.col("m.tool_calls").cast("array<variant>"))
+    whole = (F.size(listed) > 0) & ~F.exists(listed, lambda c: ~_kind(c).startswith("OBJECT"))
+    is_call = (F.col("role") == "assistant") & F.coalesce(whole, F.lit(False))
+    is_result = (F.col("role") == "tool") & F.coalesce(_text_of(F.col("m.tool_call_id")).isNotNull(), F.lit(False))
+    t = t.withColumn("calls", F.when(is_call, F.transform(listed, _read))).withColumn("answers", F.when(is_result, _text_of(F.col("m.tool_call_id"))))
+    said = F.col("m.content")
+    t = t.withColumn("content", F.when(is_call | is_result, F.when(said.isNull() | F.is_variant_null(said), F.lit('""')).otherwise(_value(said))).otherwise(quoted(F.col("text"))))
+    kept = F.when(is_call, _without(F.col("m"), "content", "role", "tool_calls")).when(is_result, _without(F.col("m"), "content", "role", "tool_call_id"))
+    t = t.withColumn("rest", F.coalesce(F.to_json(_written(kept)), F.lit(""))).drop("v", "m")
 
     call = t.where("calls is not null").select("conv_id", "turn", F.posexplode("calls").alias("pos", "c"))
     call = call.where("c.id is not null").groupBy("conv_id", F.col("c.id").alias("id")).agg(F.min(F.struct("turn", "pos")).alias("first"))
@@ -105,14 +143,17 @@ def messages(turns: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] =
     t = t.withColumn("problems", F.coalesce(F.flatten(problem), F.array().cast("array<string>")))
 
     def args(c: Column) -> Column:
-        pairs = F.transform(F.array_sort(F.map_keys(c["arguments"])), lambda k: F.concat(quoted(k), F.lit(":"), _value(c["arguments"][k])))
-        whole = F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
-        return F.coalesce(whole, F.when(c["raw"].isNotNull(), _value(c["raw"])), F.lit("{}"))
-
-    one = F.transform("calls", lambda c: F.concat(F.lit('{"arguments":'), args(c), F.lit(',"id":'), quoted(c["id"]), F.lit(',"name":'), quoted(c["name"]), F.lit("}")))
-    tail = F.when(F.col("answers").isNotNull(), F.concat(F.lit(',"tool_call_id":'), quoted(F.col("answers"))))
-    tail = tail.when(F.col("calls").isNotNull(), F.concat(F.lit(',"tool_calls":['), F.array_join(one, ","), F.lit("]"))).otherwise("")
-    body = F.concat(F.lit('{"content":'), quoted(F.col("content")), F.lit(',"role":'), quoted(F.col("role")), tail, F.lit("}"))
+        return F.coalesce(_object(_written(c["arguments"])), F.when(c["raw"].isNotNull(), _value(c["raw"])), F.lit("{}"))
+
+    def one(c: Column) -> Column:
+        own = F.array(_pair("arguments", args(c)), _pair("id", F.coalesce(F.when(~F.is_variant_null(c["raw_id"]), _value(c["raw_id"])), F.lit('""'))), _pair("name", quoted(c["name"])))
+        function = F.when(c["function"].isNotNull(), F.array(_pair("function", _object(_written(c["function"])))))
+        return _object(F.concat(own, F.coalesce(_written(c["rest"]), _none()), F.coalesce(function, _none())))
+
+    answers = F.when(F.col("answers").isNotNull(), F.array(_pair("tool_call_id", quoted(F.col("answers")))))
+    calls = F.when(F.col("calls").isNotNull(), F.array(_pair("tool_calls", F.concat(F.lit("["), F.array_join(F.transform("calls", one), ","), F.lit("]")))))
+    rest = F.from_json("rest", "array<struct<k:string,j:string>>")
+    body = _object(F.concat(F.array(_pair("content", F.col("content")), _pair("role", quoted(F.col("role")))), F.coalesce(answers, calls, _none()), F.coalesce(rest, _none())))
     return t.select(
         "conv_id", "turn", "role",
         F.coalesce(F.when(late, F.col("call_turn")), F.col("turn")).alias("at"),
@@ -130,14 +171,32 @@ def _value(v: Column) -> Column:
     return F.when(v.isNull() | F.is_variant_null(v), F.lit("null")).when(F.schema_of_variant(v) == "STRING", quoted(v.cast("string"))).otherwise(F.to_json(v))
 
 
+def _none() -> Column:
+    return F.array().cast("array<struct<k:string,j:string>>")
+
+
+def _pair(key: str, value: Column) -> Column:
+    return F.struct(F.lit(key).alias("k"), value.alias("j"))
+
+
+def _written(m: Column) -> Column:
+    """A map's pairs (k, JSON of its value)."""
+    return F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("k"), _value(e["value"]).alias("j")))
+
+
+def _object(pairs: Column) -> Column:
+    """Pairs as a JSON object, sorted by key."""
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(quoted(p["k"]), F.lit(":"), p["j"])), ","), F.lit("}"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     m = messages(turns)
-    return m.select("conv_id", "turn", "at", "step", "n_calls", "call_turn", "orphan", F.size("problems").alias("n_problems"), "message")
+    return m.select("conv_id", "turn", "at", "step", "n_calls", "call_turn", "orphan", F.size("problems").alias("n_problems"), F.size("duplicate").alias("n_duplicate"), F.size("unanswered").alias("n_unanswered"), "message")
 
 
 OP2_SQL = r"""
-SELECT conv_id, turn, turn AS at, 0 AS step, 0 AS n_calls, CAST(NULL AS BIGINT) AS call_turn, false AS orphan, 0 AS n_problems,
+SELECT conv_id, turn, turn AS at, 0 AS step, 0 AS n_calls, CAST(NULL AS BIGINT) AS call_turn, false AS orphan, 0 AS n_problems, 0 AS n_duplicate, 0 AS n_unanswered,
        '{"content":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',"role":' || CAST(to_json(coalesce(role, 'user')) AS VARCHAR) || '}' AS message
 FROM conversations
 WHERE NOT (coalesce(text, '') LIKE '{%' AND role IN ('assistant', 'tool'))
