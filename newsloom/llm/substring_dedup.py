@@ -22,6 +22,7 @@ So every word of an exact passage is told, and every passage is told with one pa
 is told as far as it goes with the partner it was walked with.
 
 compact_windows (windows of min-hashes over Cartesian trees) found candidates earlier, at similarity s with probability 3s^2(1-s) + s^3; nothing but its tests uses it now.
+Of a run of equal words that several documents share only the first seed is compared; a seed counts as inside such a run only if all words since the seed before it are equal too.
 
 Defined results: text null has no words and no passages; rows that repeat doc_id and text are one document, and each gets that
 document's result; rows that share doc_id alone are apart; an empty table gives none.
@@ -272,15 +273,16 @@ def _found(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
 
 
 def _free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, keys, places, stretches or null) to a row (node, key, place, free, behind) for each shared seed.
+    """(node, keys, places, words, stretches or null) to a row (node, key, place, free, behind) for each shared seed.
 
-    free: it lies in no stretch. behind: stands for the free seed before it and its distance; two seeds of equal key and behind are in a run that is
+    free: it lies in no stretch. behind: stands for the free seed before it and all words from there on; two seeds of equal key and behind are in a run of equal words that is
     walked from the earlier seed. What has none before it gets a value of its own.
     """
     for batch in batches:
         nodes = batch.column(0).to_numpy()
         out: list[list[np.ndarray]] = []
-        for row, keys, places, spans in zip(nodes, *(batch.column(i) for i in range(1, 4)), strict=True):
+        for row, keys, places, words, spans in zip(nodes, *(batch.column(i) for i in range(1, 5)), strict=True):
+            between = _stretch_hash(words.values.to_numpy(zero_copy_only=False))
             k, at = keys.values.to_numpy(zero_copy_only=False), places.values.to_numpy(zero_copy_only=False).astype(np.int64)
             free = np.ones(len(k), bool)
             if spans.is_valid and len(spans.values):
@@ -292,7 +294,7 @@ def _free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 free = ~((i >= 0) & (at + SEED <= b[np.maximum(i, 0)]))
             behind = textops.mix(at.astype(U) + textops.mix(np.array([row], np.int64).view(U)))
             i = np.flatnonzero(free[1:] & free[:-1])
-            behind[i + 1] = textops.mix(k[i].view(U) + textops.mix((at[i + 1] - at[i]).astype(U)))
+            behind[i + 1] = textops.mix(k[i].view(U) + textops.mix((at[i + 1] - at[i]).astype(U) + between(at[i], at[i + 1])))
             # where a text repeats itself within a seed's length, its first and last seeds of a kind stand for all between
             kind = np.stack([k.view(U), np.append(U(0), k[:-1].view(U)), np.append(k[1:].view(U), U(0))])
             order = np.lexsort((at, *kind))
@@ -306,6 +308,20 @@ def _free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["node", "key", "place", "free", "behind"])
 
 
+def _stretch_hash(words: np.ndarray):
+    """A function of first words and ends: hashes of the stretches, wherever they stand, from sums over all words before them."""
+    n = len(words) + 1
+    up = np.full(n, textops.MULTIPLIER, U)
+    up[0] = 1
+    up = np.multiply.accumulate(up)
+    down = np.full(n, U(pow(int(textops.MULTIPLIER), -1, 1 << 64)), U)
+    down[0] = 1
+    down = np.multiply.accumulate(down)
+    sums = np.zeros(n, U)
+    np.cumsum(textops.mix(words.astype(np.int64).view(U)) * down[:-1], out=sums[1:])
+    return lambda a, b: (sums[b] - sums[a]) * up[a]
+
+
 def _equal(x: np.ndarray, y: np.ndarray) -> int:
     """How many leading elements are equal."""
     m = min(len(x), len(y))
@@ -623,7 +639,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     # near passages through the shared seeds that are left
     stretch = F.collect_set(F.struct("first", "end"))
-    left = places.select("node", "keys", "places").join(sure.groupBy("node").agg(stretch.alias("spans")), "node", "left")
+    left = places.select("node", "keys", "places", "words").join(sure.groupBy("node").agg(stretch.alias("spans")), "node", "left")
     left = written(left.mapInArrow(_free, "node long, key long, place long, free boolean, behind long"), "seeds")
     open_ = left.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("t"), F.max("free").alias("free"), F.min("behind").alias("x"), F.max("behind").alias("y"))
     open_ = written(open_.where("free and b < t and x < y").select("key", "b"), "open")
