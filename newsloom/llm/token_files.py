@@ -114,7 +114,7 @@ class Writer(DataSourceArrowWriter):
     def __init__(self, uri: str, width: int, ranked: bool) -> None:
         self.uri, self.width, self.ranked = uri, width, ranked
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written | None:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         task = TaskContext.get().partitionId()
         store, path = _store(self.uri)
         rank = None
@@ -144,8 +144,8 @@ class Writer(DataSourceArrowWriter):
                     close_group()
                 held.append((np.asarray(ids.fill_null(0)), np.asarray(ids.is_valid()), n, bytes(data)))
                 size += int(n.sum())
-        if out is None:
-            return None
+        if out is None:  # no rows, no file
+            return Written(task, "", 0, 0)
         close_group()
         n = np.concatenate([i[2] for i in index])
         where = out.tell()
@@ -157,13 +157,13 @@ class Writer(DataSourceArrowWriter):
         return Written(task, name, len(n), int(n.sum()))
 
     def commit(self, messages: list[Written | None]) -> None:
-        files = [[m.file, m.n_docs, m.n_ids] for m in sorted((m for m in messages if m is not None), key=lambda m: m.shard)]
+        files = [[m.file, m.n_docs, m.n_ids] for m in sorted((m for m in messages if m is not None and m.file), key=lambda m: m.shard)]
         _put(self.uri, "manifest.json", json.dumps({"ranked": self.ranked, "width": self.width, "files": files}).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
         store, path = _store(self.uri)
         for m in messages:
-            if m is not None:
+            if m is not None and m.file:
                 store.delete_file(f"{path}/{m.file}")
 
 
