@@ -47,9 +47,9 @@ def capital_runs(title: Column) -> Column:
     return F.when(~is_title_case(words(title)), F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
-def entity_tokens(title: Column) -> Column:
+def entity_tokens(title: Column, entities=capital_runs) -> Column:
     """Words of three letters or more of a title's entities, lower-cased."""
-    every = F.flatten(F.transform(capital_runs(title), lambda e: F.split(F.lower(e), r"[^\p{L}]+")))
+    every = F.flatten(F.transform(entities(title), lambda e: F.split(F.lower(e), r"[^\p{L}]+")))
     return F.array_distinct(F.filter(every, lambda w: F.length(w) >= 3))
 
 

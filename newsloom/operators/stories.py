@@ -63,6 +63,11 @@ def kind_of(deal_share: Column, outlets: Column, run: Column) -> Column:
     return F.when(deal_share > 0.5, "deal").when((outlets == 1) & (run >= MIN_RUN), "roundup").otherwise("story")
 
 
+def fallback_headlines(art: DataFrame, top: DataFrame) -> DataFrame:
+    """art (story, outlet, ord, title), top (story, outlet: its modal one): each story's longest title of that outlet, of equals the first by ord."""
+    return art.join(top, ["story", "outlet"]).groupBy("story").agg(F.max_by("title", F.struct(F.length("title"), -F.col("ord"))).alias("headline"))
+
+
 def stories(fact: DataFrame, sources: DataFrame, threshold: float = MERGE, entities=capital_runs) -> DataFrame:
     """fact (group long in rank order, label, pos, title, link, timestamp, source) and sources (url, outlet, domain, section) to ranked stories."""
     members = written(flattened(fact), "members")
@@ -83,7 +88,7 @@ def stories(fact: DataFrame, sources: DataFrame, threshold: float = MERGE, entit
     )
     section = modal(art, ["story"], "section", "ord").where("place = 1").select("story", "section")
     top = outlet.where("place = 1").select("story", "outlet")
-    headline = art.join(top, ["story", "outlet"]).groupBy("story").agg(F.max_by("title", F.struct(F.length("title"), -F.col("ord"))).alias("headline"))
+    headline = fallback_headlines(art, top)
     words_ = m.select("story", "group", keywords(F.col("label")).alias("k")).distinct().groupBy("story").agg(
         F.slice(F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("group", "k"))), lambda x: x["k"]))), 1, MAX_KEYWORDS).alias("keywords")
     )

@@ -258,9 +258,12 @@ def modal_outlet(spark, d):
     return stories.modal(c.select(F.col("n_name").alias("story"), F.col("c_mktsegment").alias("outlet"), "c_custkey"), ["story"], "outlet", "c_custkey").where("place = 1").select("story", "outlet", "n")
 
 
-@query("SELECT p_brand AS story, arg_max(p_name, (length(p_name), -p_partkey)) AS headline FROM part GROUP BY p_brand")
+@query("""WITH o AS (SELECT p_brand AS story, p_type AS outlet, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, min(p_partkey)) AS k FROM part GROUP BY 1, 2)
+SELECT story, arg_max(p_name, (length(p_name), -p_partkey)) AS headline FROM part JOIN o ON story = p_brand AND outlet = p_type AND k = 1 GROUP BY story""")
 def fallback_headline(spark, d):
-    return table(spark, d, "part").groupBy(F.col("p_brand").alias("story")).agg(F.max_by("p_name", F.struct(F.length("p_name"), -F.col("p_partkey"))).alias("headline"))
+    """A brand is a story, its types are outlets."""
+    art = table(spark, d, "part").select(F.col("p_brand").alias("story"), F.col("p_type").alias("outlet"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("title"))
+    return stories.fallback_headlines(art, stories.modal(art, ["story"], "outlet", "ord").where("place = 1").select("story", "outlet"))
 
 
 @query(r"""
@@ -287,8 +290,9 @@ def template_run(spark, d):
 
 @query()
 def group_labels(spark, d):
-    g = written(G.title_groups(headlines(spark, d)), "groups")
-    return labels.labels(g.join(headlines(spark, d), "pos").select(F.col("leader").alias("group"), "pos", "title"))
+    h = written(headlines(spark, d), "headlines")
+    g = written(G.title_groups(h), "groups")
+    return labels.labels(g.join(h, "pos").select(F.col("leader").alias("group"), "pos", "title"))
 
 
 # ---- identity and momentum

@@ -5,13 +5,18 @@ Stand-ins as in the catalog; parts are phrases, users feeds and their events ent
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import dates, links, terms, text, titles
-from newsloom.operators import checks, ingest, metrics, naming
+from newsloom.functions import entities as entities_
+from newsloom.operators import checks, ingest, metrics, naming, schema_rules
+from newsloom.operators.tables import shared_dir
 from newsloom.plans.catalog import _RARE, ORACLE, PAGES, QUERIES, STOP, cleaned_sql, entries, query, table
-from newsloom.sources import archive
+from newsloom.sources import archive, objects, versions
+from newsloom.streaming.archive_stream import metrics_upsert
 
 NOW = "2024-01-20 12:00:00"
 FEEDS = """f AS (SELECT user_id AS url, count(*) FILTER (event_type <> 'error') AS n, CASE WHEN max(value) FILTER (event_type = 'error') > 300 THEN 500 ELSE 200 END AS status FROM events GROUP BY user_id)"""
@@ -43,18 +48,82 @@ def failing_feeds(spark, d):
     return checks.failing(_health(spark, d))
 
 
-@query(f"WITH {FEEDS} SELECT count(*) AS n FROM f WHERE n < 0")
+@query(f"WITH {FEEDS} SELECT 'ok' AS violation, count(*) AS n FROM f WHERE (n > 0) <> (status < 400 AND n > 0)")
 def health_violations(spark, d):
-    return checks.health_violations(_health(spark, d)).agg(F.count("*").alias("n"))
+    """Records of a monitor that calls a feed well if it has entries, whatever its status."""
+    told = _health(spark, d).withColumn("ok", F.col("entry_count") > 0)
+    return checks.health_violations(told).groupBy("violation").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {PAGES} SELECT 'title' AS violation, count(*) AS n FROM p WHERE title = '' HAVING count(*) > 0 UNION ALL SELECT 'link', count(*) FROM p WHERE link IS NULL OR link = '' HAVING count(*) > 0")
+@query("""WITH p AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS h FROM pages)
+SELECT 'title' AS violation, count(*) AS n FROM p WHERE h NOT LIKE '%.com' UNION ALL SELECT 'link', count(*) FROM p WHERE h LIKE '%.net'
+UNION ALL SELECT 'source', count(*) FROM p WHERE h LIKE '%.net' UNION ALL SELECT 'timestamp', count(*) FROM p WHERE h NOT LIKE '%.org'""")
 def news_violations(spark, d):
-    e = entries(spark, d)
-    fact = e.select(F.col("pos").alias("top_id"), "title", "link", F.col("published").alias("timestamp"), ingest.source_of(F.col("title_detail_base"), F.col("link")).alias("source"))
+    """Pages as articles of a broken document: titles of .com alone, no links or sources of .net, stamps of .org alone."""
+    e, host = entries(spark, d), links.authority(F.col("link"))
+    fact = e.select(
+        F.col("pos").alias("top_id"), F.when(host.endswith(".com"), F.col("title")).otherwise("").alias("title"), F.when(~host.endswith(".net"), F.col("link")).alias("link"),
+        F.when(host.endswith(".org"), F.lit("2024")).alias("timestamp"), F.when(~host.endswith(".net"), host).otherwise("").alias("source"),
+    )
     return checks.news_violations(fact).groupBy("violation").agg(F.count("*").alias("n"))
 
 
+TURN_SCHEMA = {
+    "type": "object", "required": ["conv_id", "role", "text"], "additionalProperties": False,
+    "properties": {
+        "conv_id": {"type": "integer", "minimum": 0}, "turn": {"type": "integer", "maximum": 3}, "role": {"enum": ["user", "assistant"]},
+        "text": {"type": "string", "minLength": 20, "maxLength": 400, "pattern": "^[A-Z]"}, "words": {"type": "array", "maxItems": 60, "items": {"type": "string", "maxLength": 14}},
+    },
+}
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, role, text, string_split(text, ' ') AS w FROM conversations),
+i AS (SELECT conv_id, turn, w, unnest(generate_series(1, len(w))) AS k FROM c)
+SELECT conv_id, turn, '$.turn' AS path, 'maximum' AS rule FROM c WHERE turn > 3
+UNION ALL SELECT conv_id, turn, '$.role', 'enum' FROM c WHERE role NOT IN ('user', 'assistant') UNION ALL SELECT conv_id, turn, '$', 'required:role' FROM c WHERE role IS NULL
+UNION ALL SELECT conv_id, turn, '$', 'required:text' FROM c WHERE text IS NULL UNION ALL SELECT conv_id, turn, '$.text', 'minLength' FROM c WHERE length(text) < 20
+UNION ALL SELECT conv_id, turn, '$.text', 'maxLength' FROM c WHERE length(text) > 400 UNION ALL SELECT conv_id, turn, '$.text', 'pattern' FROM c WHERE NOT regexp_matches(text, '^[A-Z]')
+UNION ALL SELECT conv_id, turn, '$.words', 'maxItems' FROM c WHERE len(w) > 60
+UNION ALL SELECT conv_id, turn, '$.words[' || (k - 1) || ']', 'maxLength' FROM i WHERE length(w[k]) > 14""")
+def schema_violations(spark, d):
+    """A turn is a JSON document with its words as a list, judged by a schema document."""
+    c = table(spark, d, "conversations")
+    doc = F.to_json(F.struct("conv_id", "turn", "role", "text", F.split("text", " ").alias("words")))
+    return schema_rules.schema_violations(c.select("conv_id", "turn", doc.alias("value")), TURN_SCHEMA)
+
+
+@query("SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS url FROM pages WHERE regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) NOT LIKE '%.com'")
+def unmapped_feeds(spark, d):
+    """A page's host is a feed; those of .com are in the outlets' table."""
+    f = table(spark, d, "pages").select(links.authority(F.col("url")).alias("url"))
+    return ingest.unmapped(f, f.where(F.col("url").endswith(".com")).distinct())
+
+
+@query("SELECT item_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, md5(text) AS md5 FROM benchmark")
+def stored_objects(spark, d):
+    """An item's text is an object, put by tasks and read back."""
+    at = f"{shared_dir(spark)}/newsloom/objects-{uuid.uuid4().hex}"
+    b = table(spark, d, "benchmark")
+    objects.put_all(b.select(F.concat(F.lit("items/"), F.col("item_id").cast("string"), F.lit(".txt")).alias("target"), F.col("text").cast("binary").alias("body")), at)
+    back = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(at)
+    name = F.regexp_extract("path", r"/([^/]+)\.txt$", 1)
+    return back.select(name.cast(b.schema["item_id"].dataType).alias("item_id"), F.col("length").alias("n_bytes"), F.md5("content").alias("md5"))
+
+
+@query(r"""WITH r AS (SELECT strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%Y-%m-%dT%H') AS ts, count(*) AS articles, count(*) FILTER (event_type = 'error') AS old FROM events GROUP BY 1, 2)
+SELECT date, ts, CASE WHEN old > 0 THEN old ELSE articles END AS articles FROM r""")
+def versioned_runs(spark, d):
+    """Hours are runs; a first batch has the number of errors of those with any, a second all events of all, and it comes twice: the state has each run once, as it came first."""
+    at = f"{shared_dir(spark)}/newsloom/state-{uuid.uuid4().hex}"
+    stamp = F.substring(dates.run_stamp(F.col("ts")), 1, 13)
+    e = events(spark, d).select(F.substring(stamp, 1, 10).alias("date"), stamp.alias("ts"), "event_type")
+    count = lambda x: x.groupBy("date", "ts").agg(F.count("*").alias("articles"))
+    handle = metrics_upsert(at, "date string, ts string, articles bigint")
+    for number, batch in ((0, count(e.where("event_type = 'error'"))), (1, count(e)), (1, count(e))):
+        handle(batch, number)
+    return versions.load(spark, at, "date string, ts string, articles bigint")
+
+
 @query(f"WITH {PAGES} SELECT pos, CASE WHEN link = '' THEN 'unknown' ELSE link END AS source FROM p WHERE title <> '' AND link <> ''")
 def required_entries(spark, d):
     e = entries(spark, d).where(ingest.has_required("title", "link"))
@@ -209,6 +278,19 @@ def document_keywords(spark, d):
     return metrics.group_keywords(t, 5).select(F.col("group").alias("doc_id"), F.array_join("keywords", ",").alias("keywords"))
 
 
+@query()
+def dictionary_entities(spark, d):
+    """Entities of the pages' titles by a dictionary: the 300 most frequent pairs of words of the headlines, and the 100 most frequent words. Tested against brute force."""
+    t = table(spark, d, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"))
+    words = F.regexp_extract_all("title", F.lit(entities_.WORD), F.lit(0))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.slice("w", i, 2)))
+    w = t.select(words.alias("w"))
+    top = lambda c, n: w.where("size(w) > 1").select(F.explode(c).alias("p")).groupBy("p").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "p").limit(n)
+    phrases = [r.p for r in top(pairs, 300).unionByName(top(F.col("w"), 100)).collect()]
+    found = entities_.dictionary_entities(spark, phrases)
+    return t.select("page_id", F.array_join(found(F.col("title")), "|").alias("entities"))
+
+
 # ---- names
 
 
