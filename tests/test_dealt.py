@@ -9,6 +9,23 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
 
 
+def test_cosine_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "SMALL_BLOCK", 7)
+    monkeypatch.setattr(similarity, "CELLS", 20)
+    rng = random.Random(5)
+    docs = [(k, " ".join(rng.choices(["aa", "bb", "cc", "dd", "ee", "ff", "gg"], k=rng.randint(0, 5)))) for k in range(50)]
+    w = similarity.tfidf(spark.createDataFrame(docs, "id long, text string")).cache()
+    by = {}
+    for r in w.collect():
+        by.setdefault(r.id, {})[r.term] = r.w
+    want = {(i, j) for i in by for j in by if i < j and round(sum(x * by[j].get(t, 0) for t, x in by[i].items()), 12) >= 0.5}
+    out = similarity.cosine_pairs(w, 0.5)
+    got = [(x.i, x.j) for x in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert "Aggregate" not in _plan(out) and "Join" not in _plan(out)  # pairs are neither gathered nor joined again
+    assert similarity.cosine_pairs(w.limit(0), 0.5).count() == 0
+
+
 def _sets(n, seed):
     rng = random.Random(seed)
     return {k: {f"own {k}"} | set(rng.sample(["a", "b", "c", "d", "e", "f"], rng.randint(1, 5))) - ({f"own {k}"} if k % 2 else set()) for k in range(n)}
