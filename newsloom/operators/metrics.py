@@ -152,7 +152,9 @@ def sentence_terms(sentences: DataFrame, extract=terms) -> DataFrame:
 
 def group_keywords(tokens: DataFrame, n: int = 5) -> DataFrame:
     """tokens (group, pos, words): each group's n most frequent words, ties to the first met, and a suggested name of them."""
-    w = tokens.select("group", "pos", F.posexplode("words").alias("at", "word")).where("word <> ''")
+    # dealt by group before words are laid out, in full number: rows of (group, word) and the ranks behind need no further shuffle
+    dealt = tokens.select("group", "pos", "words").repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group")
+    w = dealt.select("group", "pos", F.posexplode("words").alias("at", "word")).where("word <> ''")
     c = w.groupBy("group", "word").agg(F.count("*").alias("n"), F.min(F.struct("pos", "at")).alias("first"))
     c = c.withColumn("place", F.row_number().over(Window.partitionBy("group").orderBy(F.col("n").desc(), "first"))).where(F.col("place") <= n)
     words = F.transform(F.sort_array(F.collect_list(F.struct("place", "word"))), lambda x: x["word"])

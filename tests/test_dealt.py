@@ -2,7 +2,7 @@
 
 import random
 
-from newsloom.operators import similarity
+from newsloom.operators import metrics, similarity
 
 
 def _plan(df):
@@ -53,3 +53,10 @@ def test_items_are_numbers_and_single_ones_are_counted(spark):
     assert dict(coded.dtypes)["item"] == "bigint"
     assert sorted((r.id, r.n) for r in coded.collect()) == [(1, 2), (2, 1)]
     assert sorted((r.id, r.n) for r in sizes.collect()) == [(1, 2), (2, 1), (3, 1)]
+
+
+def test_keywords_are_dealt_once(spark):
+    t = spark.createDataFrame([(1, 0, ["b", "a", "a"]), (1, 1, ["b", "c", "b"]), (2, 0, ["", "z"])], "group long, pos long, words array<string>")
+    out = metrics.group_keywords(t, 2)
+    assert {r.group: r.keywords for r in out.collect()} == {1: ["b", "a"], 2: ["z"]}
+    assert _plan(out).count("Exchange hashpartitioning") == 1
