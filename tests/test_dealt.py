@@ -2,7 +2,7 @@
 
 import random
 
-from newsloom.operators import metrics, similarity
+from newsloom.operators import metrics, similarity, stories
 
 
 def _plan(df):
@@ -60,3 +60,11 @@ def test_keywords_are_dealt_once(spark):
     out = metrics.group_keywords(t, 2)
     assert {r.group: r.keywords for r in out.collect()} == {1: ["b", "a"], 2: ["z"]}
     assert _plan(out).count("Exchange hashpartitioning") == 1
+
+
+def test_template_runs_gather_no_story(spark):
+    rows = [(1, k, f"best new deals of the week {k}") for k in range(30)] + [(2, k, f"see how Paris won again {'x' * k}") for k in range(5)] + [(3, 0, None)]
+    out = stories.template_runs(spark.createDataFrame(rows, "story long, ord long, title string"))
+    # of story 2 every run but "see how" and what lies behind the proper noun has it, and its longest run has it too
+    assert {r.story: r.run for r in out.collect()} == {1: 6, 2: 0, 3: 0}
+    assert "collect_" not in _plan(out)
