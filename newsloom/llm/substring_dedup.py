@@ -55,6 +55,8 @@ COMMON = 37
 SLACK = 0
 #: Blocks of a cluster, as in near_dedup.
 SMALL_BLOCK, SPREAD, BLOCK_WORDS = 25_000, 8, 1_000_000
+#: Runs of an alignment that are looked at in all pairs.
+RUNS = 256
 U = np.uint64
 #: Levels of the tree from which on equal minimums are looked for (a text without repeats has about twice the logarithm of its length).
 DEEP = 30
@@ -365,6 +367,12 @@ def _repeats(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[by], was[by]
 
 
+def _among(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which elements of x are in y, not empty."""
+    y = np.sort(y)
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+
+
 def similar(x: np.ndarray, y: np.ndarray, runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """The longest stretches (of x, of y: first shingle and end) from run to run that are similar enough on their shingle sets."""
     least = PASSAGE - SHINGLE + 1
@@ -378,13 +386,20 @@ def similar(x: np.ndarray, y: np.ndarray, runs: list[tuple[int, int, int]]) -> l
     at_x, was_x = _repeats(x)
     at_y, was_y = _repeats(y)
     aligned = np.repeat(first - np.cumsum(lens) + lens, lens) + np.arange(int(lens.sum()))
-    at_m, was_m = _repeats(x[aligned])
+    at_m, was_m = _repeats(x[aligned]) if len(at_x) else (at_x, was_x)
     was_m = aligned[was_m]
-    elsewhere = np.isin(x, y)
+    elsewhere = _among(x, y)
     known = np.concatenate([[0], np.cumsum(elsewhere)])
     out: list[tuple[int, int, int, int]] = []
     far, done = -1, np.cumsum(lens) - lens
-    for s in range(len(runs)):
+    starts = range(len(runs))
+    if not len(at_x) and not len(at_y) and len(runs) <= RUNS:
+        # nothing repeats: from which runs a stretch may begin is seen at once
+        mine, theirs = b - first[:, None], d - other[:, None]
+        most = known[b] - known[first][:, None]
+        may = (np.maximum(mine, theirs) >= least) & (most * DEN >= NUM * (mine + theirs - most))
+        starts = np.flatnonzero(np.triu(may).any(1)).tolist()
+    for s in starts:
         a, c = int(first[s]), int(other[s])
         t = np.arange(max(s, far + 1), len(runs))
         t = t[np.maximum(b[t] - a, d[t] - c) >= least]
@@ -410,44 +425,72 @@ def similar(x: np.ndarray, y: np.ndarray, runs: list[tuple[int, int, int]]) -> l
 
 
 WIDTH = 2 * SIGHT + SEED - SHINGLE + 1
-
-
-def _context(grams: list[np.ndarray], who: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles within SIGHT of each occurrence as numbers, a row for each, and which places are inside the document."""
-    out, inside = np.empty((len(who), WIDTH), U), np.zeros((len(who), WIDTH), bool)
-    for r, (d, p) in enumerate(zip(who.tolist(), at.tolist(), strict=True)):
-        g = grams[d]
-        lo, hi = max(0, p - SIGHT), min(len(g), p - SIGHT + WIDTH)
-        out[r] = U(2 * r + 1)
-        out[r, lo - (p - SIGHT) : hi - (p - SIGHT)] = g[lo:hi]
-        inside[r, lo - (p - SIGHT) : hi - (p - SIGHT)] = True
-    _, ids = np.unique(out, return_inverse=True)
-    return ids.reshape(out.shape), inside
-
-
-def common_shingles(ids: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
-    """For each of rows: how many distinct shingles its context has in common with that of every occurrence."""
-    m = len(ids)
-    pair = np.unique(ids.ravel().astype(np.int64) * m + np.repeat(np.arange(m), ids.shape[1]))  # distinct in each context
-    value, line = pair // m, pair % m
+#: Occurrences of which what they have in common is one product of matrices, and rows of it at once.
+FEW, ROWS = 128, 256
+
+
+class _Contexts:
+    """The shingles of documents as numbers, end to end, and what lies within SIGHT of places in them."""
+
+    def __init__(self, grams: list[np.ndarray]) -> None:
+        flat = np.concatenate(grams)
+        self.sizes = np.array([len(g) for g in grams])
+        self.base = np.cumsum(self.sizes) - self.sizes
+        doc = np.repeat(np.arange(len(grams)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        by, doc = flat[order], doc[order]
+        new = np.ones(len(flat), bool)
+        new[1:] = by[1:] != by[:-1]
+        number = np.cumsum(new) - 1
+        #: What stands for places outside of a document.
+        self.none = int(number[-1]) + 1 if len(flat) else 0
+        self.ids = np.full(len(flat) + 1, self.none)
+        self.ids[order] = number
+        #: The place of the last equal shingle before in the document, or -1.
+        self.last = np.full(len(flat) + 1, -1)
+        again = np.flatnonzero(~new[1:] & (doc[1:] == doc[:-1])) + 1
+        self.last[order[again]] = order[again - 1]
+        once = np.ones(len(flat), bool)
+        once[again] = False
+        #: Whether several documents have the shingle.
+        self.shared = np.append(np.bincount(number[once], minlength=self.none) > 1, False)
+
+    def of(self, doc: int) -> np.ndarray:
+        return self.ids[self.base[doc] : self.base[doc] + self.sizes[doc]]
+
+    def around(self, who: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A row for each place: the numbers within SIGHT, which of them are the first of their kind there, and which places are inside the document."""
+        place = (at - SIGHT)[:, None] + np.arange(WIDTH)
+        inside = (place >= 0) & (place < self.sizes[who][:, None])
+        place = np.where(inside, place + self.base[who][:, None], len(self.ids) - 1)
+        first = self.last[place] < (self.base[who] + np.maximum(at - SIGHT, 0))[:, None]
+        return self.ids[place], first, inside
+
+
+def common_shingles(value: np.ndarray, line: np.ndarray, m: int, rows: np.ndarray) -> np.ndarray:
+    """(value, line), each once and sorted by value, every value in several of m lines: how many values each of rows has in common with every line, a row for each."""
+    new = np.ones(len(value), bool)
+    new[1:] = value[1:] != value[:-1]
+    value = np.cumsum(new) - 1
     held = np.bincount(value)
-    keep = held[value] > 1
-    value, line = value[keep], line[keep]
-    hot = held > max(8, m // 8)  # these are laid out as columns of a matrix, the others as lists
+    # frequent ones are laid out as columns of a matrix, the others as lists
+    hot = held > (max(8, m // 8) if m > FEW else 0)
     col = np.cumsum(hot) - 1
     dense = np.zeros((m, int(hot.sum())), np.float32)
     h = hot[value]
     dense[line[h], col[value[h]]] = 1
+    out = (dense[rows] @ dense.T).astype(np.int64)
+    if h.all():
+        return out
     value, line = value[~h], line[~h]
     at = np.searchsorted(value, np.arange(len(held) + 1))
     order = np.argsort(line, kind="stable")
     mine, cut = value[order], np.searchsorted(line[order], np.arange(m + 1))
-    for lo in range(0, len(rows), 256):
-        part = rows[lo : lo + 256]
-        base = (dense[part] @ dense.T).astype(np.int64)
-        for i, r in enumerate(part.tolist()):
-            lists = [line[at[v] : at[v + 1]] for v in mine[cut[r] : cut[r + 1]].tolist()]
-            yield base[i] + np.bincount(np.concatenate(lists), minlength=m) if lists else base[i]
+    for i, r in enumerate(rows.tolist()):
+        lists = [line[at[v] : at[v + 1]] for v in mine[cut[r] : cut[r + 1]].tolist()]
+        if lists:
+            out[i] += np.bincount(np.concatenate(lists), minlength=m)
+    return out
 
 
 def can_be_similar(match: np.ndarray, first: np.ndarray, inside: np.ndarray, apart: np.ndarray) -> np.ndarray:
@@ -470,15 +513,6 @@ def can_be_similar(match: np.ndarray, first: np.ndarray, inside: np.ndarray, apa
     return grade
 
 
-def _firsts(ids: np.ndarray) -> np.ndarray:
-    """Which numbers are the first of their value in their row."""
-    order = np.argsort(ids, axis=1, kind="stable")
-    by = np.take_along_axis(ids, order, 1)
-    out = np.ones(ids.shape, bool)
-    np.put_along_axis(out, order[:, 1:], by[:, 1:] != by[:, :-1], 1)
-    return out
-
-
 class _Covered:
     """Stretches found so far, by document."""
 
@@ -498,7 +532,6 @@ def passages(docs: list[np.ndarray], occurrences: tuple[np.ndarray, np.ndarray,
 
     occurrences: (key, document, place, free). Of two different blocks only pairs across them are looked at.
     """
-    grams = [_shingles(d) for d in docs]
     key, of, place, free = occurrences
     order = np.lexsort((place, of, key))
     key, of, place, free = key[order], of[order], place[order], free[order]
@@ -506,66 +539,90 @@ def passages(docs: list[np.ndarray], occurrences: tuple[np.ndarray, np.ndarray,
     cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
     covered, out = _Covered(), []
     failed: dict[tuple[int, int, int], list[tuple[int, int]]] = {}  # of two documents and a distance: runs that are in no passage of both
-    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        who, at = of[lo:hi], place[lo:hi]
+    text = _Contexts([_shingles(d) for d in docs])
+    often, column = np.zeros(text.none + 1, bool), np.full(text.none + 1, -1, np.int64)
+    for start, end in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        who, at = of[start:end], place[start:end]
         side = blocks[who]
         if who[0] == who[-1] or both and (side == side[0]).all():
             continue
-        todo = np.array([k for k in np.flatnonzero(free[lo:hi]).tolist() if not covered.has(int(who[k]), int(at[k]))], np.int64)
+        todo = np.array([k for k in np.flatnonzero(free[start:end]).tolist() if not covered.has(int(who[k]), int(at[k]))], np.int64)
         if not len(todo):
             continue
-        ids, inside = _context(grams, who, at)
-        often = np.bincount(np.unique(ids * len(ids) + np.arange(len(ids))[:, None]) // len(ids)) > 1
-        first = _firsts(ids)
+        ids, first, inside = text.around(who, at)
         apart = (first | ~inside).all(1)
-        column = np.full(len(often), -1, np.int64)
-        for k, common in zip(todo.tolist(), common_shingles(ids, todo), strict=True):
-            u, i = int(who[k]), int(at[k])
-            if covered.has(u, i):
-                continue
-            ok = (common >= COMMON) & (who != u)
+        line, x = np.nonzero(first & text.shared[ids])
+        value = ids[line, x]
+        order = np.argsort(value, kind="stable")
+        value, line = value[order], line[order]
+        same = value[1:] == value[:-1]
+        several = np.append(same, False) | np.append(False, same)
+        value, line = value[several], line[several]
+        often[value] = True
+        some = often[ids]
+        often[value] = False
+        for lo in range(0, len(todo), ROWS):
+            rows = todo[lo : lo + ROWS]
+            common = common_shingles(value, line, len(who), rows)
+            ok = (common >= COMMON) & (who != who[rows][:, None])
             if both:
-                ok &= side != side[k]
-            near = np.flatnonzero(ok)
-            one = slice(k, k + 1)
-            if not len(near) or not can_be_similar(often[ids[one]], first[one], inside[one], apart[one])[0]:
+                ok &= side != side[rows][:, None]
+            maybe = np.flatnonzero(ok.any(1))
+            if not len(maybe):
                 continue
-            mine, back = np.unique(ids[k], return_inverse=True)
-            column[mine] = np.arange(len(mine))
-            near = near[np.argsort(-common[near], kind="stable")]
-            for lo in range(0, len(near), 64):
-                if covered.has(u, i):
-                    break
-                part = near[lo : lo + 64]
-                met = column[ids[part]]
-                rows, places = np.nonzero(met >= 0)
-                has = np.zeros((len(part), len(mine)), bool)
-                has[rows, met[rows, places]] = True
-                wide = np.repeat(k, len(part))
-                grade = can_be_similar(has[:, back], first[wide], inside[wide], apart[wide])
-                theirs = can_be_similar(met >= 0, first[part], inside[part], apart[part])
-                for m in part[(grade > 0) & (theirs > 0) & (grade + theirs > 2)].tolist():
-                    v, j = int(who[m]), int(at[m])
-                    pair, at_low = ((u, v, j - i), i) if u < v else ((v, u, i - j), j)
-                    if any(p <= at_low < q for p, q in failed.get(pair, ())):
-                        continue
-                    # a passage through the seed has a part within sight, over the seed, that is one
-                    mid, x, y = min(i, SIGHT), grams[u][max(0, i - SIGHT) : i + SIGHT], grams[v][max(0, j - SIGHT) : j + SIGHT]
-                    runs = runs_around(x, y, mid, min(j, SIGHT))
-                    if not any(a <= mid < b for a, b, _, _ in similar(x, y, runs)):
-                        p, n = next((p, n) for p, _, n in runs if p <= mid < p + n)
-                        failed.setdefault(pair, []).append((at_low - mid + p, at_low - mid + p + n))
-                        continue
-                    for a, b, c, d in similar(grams[u], grams[v], runs_around(grams[u], grams[v], i, j)):
-                        for row in _long_enough((u, a, b, v), (v, c, d, u)):
-                            covered.add(*row[:3])
-                            out.append(row)
-                    if covered.has(u, i):
-                        break
-            column[mine] = -1
+            mid = rows[maybe]
+            maybe = maybe[can_be_similar(some[mid], first[mid], inside[mid], apart[mid]) > 0]
+            for r in maybe.tolist():
+                k = int(rows[r])
+                if covered.has(int(who[k]), int(at[k])):
+                    continue
+                near = np.flatnonzero(ok[r])
+                near = near[np.argsort(-common[r, near], kind="stable")]
+                mine = ids[k][first[k] & inside[k]]
+                column[mine] = np.arange(len(mine))
+                _partners(text, k, near, who, at, (ids, first, inside, apart), column, len(mine), covered, failed, out)
+                column[mine] = -1
     return out
 
 
+def _partners(text: _Contexts, k: int, near: np.ndarray, who: np.ndarray, at: np.ndarray, contexts: tuple, column: np.ndarray, n: int, covered: _Covered, failed: dict, out: list) -> None:
+    """Occurrence k is compared with those near it, in order, until it lies in a passage. column: which of its n distinct shingles a number is, or -1."""
+    ids, first, inside, apart = contexts
+    u, i = int(who[k]), int(at[k])
+    back = column[ids[k]]
+    for lo in range(0, len(near), 64):
+        part = near[lo : lo + 64]
+        met = column[ids[part]]
+        rows, places = np.nonzero(met >= 0)
+        has = np.zeros((len(part), n + 1), bool)  # the last column: outside of the document
+        has[rows, met[rows, places]] = True
+        wide = np.repeat(k, len(part))
+        grade = can_be_similar(has[:, back], first[wide], inside[wide], apart[wide])
+        theirs = can_be_similar(met >= 0, first[part], inside[part], apart[part])
+        for m in part[(grade > 0) & (theirs > 0) & (grade + theirs > 2)].tolist():
+            v, j = int(who[m]), int(at[m])
+            pair, at_low = ((u, v, j - i), i) if u < v else ((v, u, i - j), j)
+            if any(p <= at_low < q for p, q in failed.get(pair, ())):
+                continue
+            # a passage through the seed has a part within sight, over the seed, that is one
+            mid, gu, gv = min(i, SIGHT), text.of(u), text.of(v)
+            x, y = gu[max(0, i - SIGHT) : i + SIGHT], gv[max(0, j - SIGHT) : j + SIGHT]
+            runs = runs_around(x, y, mid, min(j, SIGHT))
+            found = similar(x, y, runs)
+            if not any(a <= mid < b for a, b, _, _ in found):
+                p, q = next((p, q) for p, _, q in runs if p <= mid < p + q)
+                failed.setdefault(pair, []).append((at_low - mid + p, at_low - mid + p + q))
+                continue
+            if len(x) < len(gu) or len(y) < len(gv):
+                found = similar(gu, gv, runs_around(gu, gv, i, j))
+            for a, b, c, d in found:
+                for row in _long_enough((u, a, b, v), (v, c, d, u)):
+                    covered.add(*row[:3])
+                    out.append(row)
+            if covered.has(u, i):
+                return
+
+
 def _verify(group: pa.Table) -> pa.Table:
     group = group.sort_by("node").combine_chunks()
     lists = group.column("words").combine_chunks()
