@@ -68,3 +68,14 @@ def test_template_runs_gather_no_story(spark):
     # of story 2 every run but "see how" and what lies behind the proper noun has it, and its longest run has it too
     assert {r.story: r.run for r in out.collect()} == {1: 6, 2: 0, 3: 0}
     assert "collect_" not in _plan(out)
+
+
+def test_titles_are_dealt_before_their_phrases(spark):
+    from newsloom.operators.labels import labels
+
+    titles = spark.createDataFrame([(i % 3, i, f"markets rally in city {i % 3}") for i in range(60)], "group long, pos long, title string").coalesce(1)
+    told = labels(titles)
+    lines = told._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = [i for i, x in enumerate(lines) if "ArrowEvalPython" in x]
+    assert at and all(any("RepartitionByExpression" in x for x in lines[i + 1 : i + 4]) for i in at)
+    assert told.count() == 3
