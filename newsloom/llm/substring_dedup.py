@@ -55,6 +55,8 @@ COMMON = 37
 SLACK = 0
 #: Blocks of a cluster, as in near_dedup.
 SMALL_BLOCK, SPREAD, BLOCK_WORDS = 25_000, 8, 1_000_000
+#: Shingles of a change that are looked at before REACH, and occurrences that are compared before the others.
+NEAR, AHEAD = 12, 4
 #: Runs of an alignment that are looked at in all pairs.
 RUNS = 256
 U = np.uint64
@@ -231,6 +233,13 @@ def _shingles(words: np.ndarray) -> np.ndarray:
     return g
 
 
+def _shingles_of(docs: list[np.ndarray]) -> list[np.ndarray]:
+    """_shingles() of each of many documents, made together."""
+    words = np.concatenate([d.view(np.uint32) for d in docs])
+    g, per = textops.grams(textops.mix(words.astype(U) + U(1)), np.array([len(d) for d in docs]), SHINGLE)
+    return np.split(g, np.cumsum(per)[:-1])
+
+
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, places of windows, words, other, words of the other) to the passages (node, first, end, partner) through the windows."""
     for batch in batches:
@@ -335,16 +344,28 @@ def _equal(x: np.ndarray, y: np.ndarray) -> int:
     return m
 
 
+def _meet(x: np.ndarray, y: np.ndarray) -> tuple[int, int] | None:
+    """The places of the equal elements with the smallest sum of places, of equal sums that of the smallest place in x."""
+    for n in (NEAR, REACH + 1):  # most changes are short, and pairs of sums below n are all among the first n of both
+        b = y[:n]
+        at = (x[:n, None] == b).ravel().nonzero()[0]
+        if len(at):
+            p, q = np.divmod(at, len(b))
+            total = p + q
+            k = int(total.argmin())
+            if total[k] < n or n > NEAR:
+                return int(p[k]), int(q[k])
+    return None
+
+
 def _walk(x: np.ndarray, y: np.ndarray, i: int, j: int) -> list[tuple[int, int, int]]:
     """Runs (first of x, first of y, length) that follow the differing shingles i and j, over changes of at most REACH."""
     out = []
     while True:
-        same = x[i : i + REACH + 1, None] == y[None, j : j + REACH + 1]
-        p, q = np.nonzero(same)
-        if not len(p):
+        met = _meet(x[i : i + REACH + 1], y[j : j + REACH + 1])
+        if met is None:
             return out
-        k = int((p + q).argmin())
-        i, j = i + int(p[k]), j + int(q[k])
+        i, j = i + met[0], j + met[1]
         n = _equal(x[i:], y[j:])
         out.append((i, j, n))
         i, j = i + n, j + n
@@ -499,17 +520,19 @@ def can_be_similar(match: np.ndarray, first: np.ndarray, inside: np.ndarray, apa
     Each common shingle adds a fifth, each other one takes four (once, if it repeats), and each change between common ones takes four of the other
     side's shingles, where shingles don't repeat (apart). Of two stretches one has 46 shingles, the other 37 at least. Never less than what is so.
     """
-    w = np.where(match, 0.2, np.where(first, -0.8, 0.0))
-    w[:, 1:] -= 3.2 * (match[:, :-1] & ~match[:, 1:] & apart[:, None])
-    w[~inside] = -1e6
-    total = np.zeros((len(w), WIDTH + 1))
-    np.cumsum(w, axis=1, out=total[:, 1:])
-    best = np.maximum.accumulate(total[:, ::-1], axis=1)[:, ::-1]
+    # in fifths
+    one = np.int16(1)
+    w = match * (5 * one) - (match | first) * (4 * one)
+    w[:, 1:] -= (match[:, :-1] & ~match[:, 1:] & apart[:, None]) * (16 * one)
+    w -= ~inside * (5 * WIDTH * one)
+    total = np.zeros((len(w), WIDTH + 1), np.int32)
+    np.cumsum(w, axis=1, dtype=np.int32, out=total[:, 1:])
+    over = SIGHT + SEED - SHINGLE + 1  # the first end behind the middle
+    best = np.maximum.accumulate(total[:, :over - 1 : -1], axis=1)[:, ::-1]
     grade = np.zeros(len(w), np.int64)
-    a = np.arange(SIGHT + 1)
     for least in (COMMON, PASSAGE - SHINGLE + 1):
-        end = np.maximum(SIGHT + SEED - SHINGLE + 1, a + least)
-        grade += (best[:, end] - total[:, a]).max(1) >= -1e-6
+        near = over - least  # from the beginnings up to here any end behind the middle is far enough
+        grade += (best[:, 0] >= total[:, : near + 1].min(1)) | (best[:, 1 : SIGHT - near + 1] >= total[:, near + 1 : SIGHT + 1]).any(1)
     return grade
 
 
@@ -539,7 +562,7 @@ def passages(docs: list[np.ndarray], occurrences: tuple[np.ndarray, np.ndarray,
     cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
     covered, out = _Covered(), []
     failed: dict[tuple[int, int, int], list[tuple[int, int]]] = {}  # of two documents and a distance: runs that are in no passage of both
-    text = _Contexts([_shingles(d) for d in docs])
+    text = _Contexts(_shingles_of(docs))
     often, column = np.zeros(text.none + 1, bool), np.full(text.none + 1, -1, np.int64)
     for start, end in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         who, at = of[start:end], place[start:end]
@@ -551,16 +574,20 @@ def passages(docs: list[np.ndarray], occurrences: tuple[np.ndarray, np.ndarray,
             continue
         ids, first, inside = text.around(who, at)
         apart = (first | ~inside).all(1)
-        line, x = np.nonzero(first & text.shared[ids])
-        value = ids[line, x]
-        order = np.argsort(value, kind="stable")
-        value, line = value[order], line[order]
+        at_shared = (first & text.shared[ids]).ravel().nonzero()[0]
+        held = ids.ravel()[at_shared] << 32 | at_shared // WIDTH
+        held.sort()
+        value, line = held >> 32, held & 0xFFFFFFFF
         same = value[1:] == value[:-1]
         several = np.append(same, False) | np.append(False, same)
         value, line = value[several], line[several]
-        often[value] = True
-        some = often[ids]
-        often[value] = False
+        # who has fewer than COMMON has not so many in common with anybody
+        enough = np.bincount(line, minlength=len(who)) >= COMMON
+        todo = todo[enough[todo]]
+        if not len(todo) or enough.sum() < 2:
+            continue
+        told, left = value, enough[line]
+        value, line = value[left], line[left]
         for lo in range(0, len(todo), ROWS):
             rows = todo[lo : lo + ROWS]
             common = common_shingles(value, line, len(who), rows)
@@ -571,7 +598,10 @@ def passages(docs: list[np.ndarray], occurrences: tuple[np.ndarray, np.ndarray,
             if not len(maybe):
                 continue
             mid = rows[maybe]
-            maybe = maybe[can_be_similar(some[mid], first[mid], inside[mid], apart[mid]) > 0]
+            often[told] = True
+            some = often[ids[mid]]
+            often[told] = False
+            maybe = maybe[can_be_similar(some, first[mid], inside[mid], apart[mid]) > 0]
             for r in maybe.tolist():
                 k = int(rows[r])
                 if covered.has(int(who[k]), int(at[k])):
@@ -590,16 +620,17 @@ def _partners(text: _Contexts, k: int, near: np.ndarray, who: np.ndarray, at: np
     ids, first, inside, apart = contexts
     u, i = int(who[k]), int(at[k])
     back = column[ids[k]]
-    for lo in range(0, len(near), 64):
-        part = near[lo : lo + 64]
+    # the first ones mostly are enough
+    for part in np.split(near, np.arange(AHEAD, len(near), 64)) if len(near) > AHEAD else [near]:
         met = column[ids[part]]
         rows, places = np.nonzero(met >= 0)
         has = np.zeros((len(part), n + 1), bool)  # the last column: outside of the document
         has[rows, met[rows, places]] = True
         wide = np.repeat(k, len(part))
         grade = can_be_similar(has[:, back], first[wide], inside[wide], apart[wide])
+        part, met, grade = part[grade > 0], met[grade > 0], grade[grade > 0]
         theirs = can_be_similar(met >= 0, first[part], inside[part], apart[part])
-        for m in part[(grade > 0) & (theirs > 0) & (grade + theirs > 2)].tolist():
+        for m in part[(theirs > 0) & (grade + theirs > 2)].tolist():
             v, j = int(who[m]), int(at[m])
             pair, at_low = ((u, v, j - i), i) if u < v else ((v, u, i - j), j)
             if any(p <= at_low < q for p, q in failed.get(pair, ())):

@@ -61,3 +61,28 @@ def test_occurrences_of_a_seed_are_screened_at_once(monkeypatch):
     y = x.copy()
     y[[60, 150]] += 1
     assert {r[:3] for r in S.passages([x, y], seen, np.array([0, 0]))} == {(0, 0, 213), (1, 0, 213)}
+
+
+def test_first_partners_are_screened_alone(monkeypatch):
+    rng = np.random.default_rng(9)
+    text = rng.integers(0, 2**31 - 1, 120).astype(np.int32)
+    docs = [text.copy() for _ in range(60)]
+    for k, d in enumerate(docs):
+        d[90] = k  # no exact copies
+    n = len(docs)
+    wide, screen = [], S.can_be_similar
+    monkeypatch.setattr(S, "can_be_similar", lambda *a: wide.append(len(a[0])) or screen(*a))
+    key, place = np.zeros(n, np.int64), np.full(n, 20)
+    found = S.passages(docs, (key, np.arange(n), place, np.ones(n, bool)), np.zeros(n, np.int64))
+    assert {d for d, *_ in found} == set(range(n))
+    # one row for each occurrence, and of each one's partners the first few
+    assert sum(wide) <= n + 2 * 4 * n
+
+
+def test_meet_is_the_nearest():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 12, 13, 40, 65):
+        for kinds in (3, 60, 3000):
+            x, y = rng.integers(0, kinds, n), rng.integers(0, kinds, rng.integers(1, 66))
+            pairs = [(p + q, p, q) for p in range(len(x)) for q in range(len(y)) if x[p] == y[q]]
+            assert S._meet(x, y) == (min(pairs)[1:] if pairs else None)
