@@ -79,3 +79,42 @@ def test_titles_are_dealt_before_their_phrases(spark):
     at = [i for i, x in enumerate(lines) if "ArrowEvalPython" in x]
     assert at and all(any("RepartitionByExpression" in x for x in lines[i + 1 : i + 4]) for i in at)
     assert told.count() == 3
+
+
+def test_labels_gather_no_group(spark):
+    from newsloom.functions.titles import bracket_label
+    from newsloom.operators import labels as L
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    words = ["Harbor", "bridge", "closes", "rain", "Storm", "city", "mayor", "vote", "school", "storm"]
+    rows = [(g, i, " ".join(rng.choices(words, k=rng.randint(1, 7)))) for g in range(6) for i in range(1 if g == 5 else 12)]
+    titles = spark.createDataFrame(rows, "group long, pos long, title string")
+    out = L.labels(titles)
+    assert "collect_" not in _plan(out)
+    clean = {(r.group, r.pos): r.t for r in titles.select("group", "pos", L.normal_title(F.col("title")).alias("t")).collect()}
+    want = {}
+    for g in range(6):
+        mine = [(i, p) for (x, i), t in clean.items() if x == g for p in L.pieces(t)]
+        until = {}
+        for i, (low, _, first) in mine:
+            if first:
+                until[low] = max(i, until.get(low, -1))
+        texts = sorted({text for i, (low, text, _) in mine if text and i < until.get(low, -1)})
+        scores = {r.t: round(r.s, 4) for r in spark.createDataFrame([(x,) for x in texts], "t string").select("t", L.sentence_score(F.col("t")).alias("s")).collect()} if texts else {}
+        kept = []
+        for x in sorted(texts, key=lambda x: (-len(x.split()), -scores[x], -len(x), x)):
+            w = set(x.lower().split())
+            if not any(len(w & set(k.lower().split())) / len(w) >= L.OVERLAP for k in kept):
+                kept.append(x)
+        want[g] = kept[: L.TOP]
+    shown = spark.createDataFrame(list(want.items()), "group long, c array<string>").select("group", bracket_label(F.col("c")).alias("label"))
+    assert {r.group: r.label for r in out.collect()} == {r.group: r.label or "" for r in shown.collect()}
+    assert any(len(k) == L.TOP for k in want.values())
+
+
+def test_texts_in_several_rows(spark):
+    one = spark.createDataFrame([(1, "aa bb aa"), (2, "bb cc"), (3, "")], "id long, text string")
+    many = spark.createDataFrame([(1, "aa bb"), (1, "aa"), (1, ""), (2, "bb"), (2, "cc"), (3, "")], "id long, text string")
+    told = lambda d: {(r.id, r.term): round(r.w, 9) for r in similarity.tfidf(d).collect()}
+    assert told(one) == told(many)
