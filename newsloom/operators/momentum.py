@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.operators.leader import matching
-from newsloom.operators.similarity import jaccard_pairs
+from newsloom.operators.leader import matching_profiles
+from newsloom.operators.similarity import jaccard_profiles
 from newsloom.operators.tables import written
 
 WINDOW_DAYS, MATCH = 14, 0.4
@@ -22,8 +22,7 @@ def carried(stories: DataFrame, state: DataFrame, today: str, threshold: float =
     cur = stories.select(F.col("story").alias("id"), F.explode(signature(F.col("keywords"), F.col("entities"))).alias("item"))
     live = state.where(F.col("last_seen") >= F.date_format(F.date_sub(F.lit(today).cast("date"), 1), "yyyy-MM-dd"))
     prev = live.select("id", F.explode(signature(F.col("keywords"), F.col("entities"))).alias("item"))
-    pairs = jaccard_pairs(cur, prev, threshold).select("i", "j", "score")
-    return matching(pairs).select(F.col("i").alias("story"), F.col("j").alias("prev"))
+    return matching_profiles(*jaccard_profiles(cur, prev, threshold)).select(F.col("i").alias("story"), F.col("j").alias("prev"))
 
 
 def folded(series: Column, today: str, outlets: Column, articles: Column, days: int = WINDOW_DAYS) -> Column:

@@ -2,7 +2,8 @@
 
 import random
 
-from newsloom.operators import metrics, similarity, stories
+from newsloom.operators import leader, metrics, momentum, similarity, stories
+from newsloom.operators.tables import written
 
 
 def _plan(df):
@@ -48,6 +49,31 @@ def test_set_joins_measure_where_they_meet(spark, monkeypatch):
     assert "Aggregate" not in _plan(out)
 
 
+def test_copies_are_one_profile(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "HOT", 7)
+    # of each id an item is its own, so no two sets are equal; the last of today's has too many of them
+    rows = [(k, x) for k in range(60) for x in ("a", "b", f"own {k}")] + [(60, x) for x in ("a", *"uvwxyz")] + [(None, "a")]
+    m = spark.createDataFrame(rows, "id long, item string")
+    today, before = m.where("id < 20 or id = 60 or id is null"), m.where("id between 20 and 59")
+    pairs, left, right = similarity.jaccard_profiles(today, before, 0.4)
+    assert [(r.common, r.score) for r in pairs.collect()] == [(2, 0.5)]
+    assert {r.i for r in left.join(pairs, "p").collect()} == set(range(20)) and {r.j for r in right.join(pairs, "q").collect()} == set(range(20, 60))
+    got = [tuple(r) for r in similarity.jaccard_pairs(today, before, 0.4).collect()]
+    assert len(got) == 800 and set(got) == {(i, j, 2, 0.5) for i in range(20) for j in range(20, 60)}
+
+
+def test_identity_is_carried_without_pairs_of_ids(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(similarity, "written", lambda df, name: made.append(written(df, name)) or made[-1])
+    monkeypatch.setattr(leader, "written", lambda df, name: made.append(written(df, name)) or made[-1])
+    stories = spark.range(70).selectExpr("concat('s', id) AS story", "array('a', 'b', concat('own ', id)) AS keywords", "array('C') AS entities")
+    state = spark.range(90).selectExpr("concat('t', id) AS id", "array('a', 'b', concat('old ', id)) AS keywords", "array('c') AS entities", "'2026-01-01' AS last_seen")
+    got = {(r.story, r.prev) for r in momentum.carried(stories, state, "2026-01-02").collect()}
+    order = lambda c, n: sorted((f"{c}{k}" for k in range(n)), reverse=True)
+    assert got == set(zip(order("s", 70), order("t", 90)))
+    assert max(df.count() for df in made) <= 4 * (70 + 90)
+
+
 def test_items_are_numbers_and_single_ones_are_counted(spark):
     coded, sizes = similarity.coded(spark.createDataFrame([(1, "x"), (1, "y"), (1, "y"), (2, "y"), (3, "z"), (4, None)], "id long, item string"))
     assert dict(coded.dtypes)["item"] == "bigint"

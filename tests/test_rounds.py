@@ -142,3 +142,32 @@ def test_matching_a_chain_ends_in_few_rounds(spark, monkeypatch):
     rounds = _rounds(monkeypatch)
     got = {(x.i, x.j) for x in leader.matching(edges, 2000).collect()}
     assert got == {((k + 1) // 2, k // 2) for k in range(9999, -1, -2)} and rounds[0] <= 20
+
+
+@pytest.mark.parametrize("local", [40, 1_000_000])
+def test_matching_of_profiles_is_matching_of_their_ids(spark, local):
+    r = random.Random(local)
+    of_i = {i: r.randrange(8) for i in range(45)}
+    of_j = {f"j{j:02}": r.randrange(9) for j in range(60)}
+    edges = [(p, q, r.choice([0.4, 0.5, 0.5, 0.9])) for p in range(8) for q in range(9) if r.random() < 0.4] + [(20, 2, 1.0), (3, 20, 1.0)]
+    a, b, want = set(), set(), set()
+    for s, i, j in sorted(((s, i, j) for p, q, s in edges for i in of_i if of_i[i] == p for j in of_j if of_j[j] == q), reverse=True):
+        if i not in a and j not in b:
+            a.add(i)
+            b.add(j)
+            want.add((i, j, s))
+    left = spark.createDataFrame([(p, i) for i, p in of_i.items()], "p long, i long")
+    right = spark.createDataFrame([(q, j) for j, q in of_j.items()], "q long, j string")
+    got = [tuple(x) for x in leader.matching_profiles(spark.createDataFrame(edges, "p long, q long, score double"), left, right, local).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert leader.matching_profiles(spark.createDataFrame([], "p long, q long, score double"), left, right, local).count() == 0
+
+
+def test_copies_are_matched_without_their_pairs(spark, monkeypatch):
+    # 4,000,000 pairs of ids, of which one in 2,000 is a match
+    left = spark.range(2_000).select(F.lit(0).cast("long").alias("p"), F.col("id").alias("i"))
+    right = spark.range(2_000).select((F.col("id") % 2).alias("q"), F.col("id").alias("j"))
+    edges = spark.createDataFrame([(0, 0, 0.5), (0, 1, 0.5)], "p long, q long, score double")
+    rounds = _rounds(monkeypatch)
+    got = {(x.i, x.j) for x in leader.matching_profiles(edges, left, right, 2_000).collect()}
+    assert got == {(k, k) for k in range(2_000)} and rounds[0] <= 6
